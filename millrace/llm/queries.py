@@ -34,6 +34,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_lines(_table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenbin import digest, write_tokens
 
