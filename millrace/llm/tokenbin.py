@@ -15,9 +15,12 @@ a table that Spark writes and reads, so that any store Spark knows holds them.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ END_ID = 2
 LEVEL = 3
 FILES = "part int, seq int, n_ids long, n_docs long, content binary"
 #: Distinct words kept with their ids in a Python worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 # ---- planes -----------------------------------------------------------------
@@ -107,47 +110,73 @@ class File:
 
 # ---- encoding ---------------------------------------------------------------
 
+class _Pieces(dict):
+    """The ids of a piece of text, found once; pieces are named without what stands before them."""
+
+    #: Signs that part from a letter before them and hold together among themselves.
+    SIGNS = ".,!?;:#$%&*"
+
+    def __init__(self, encode, before: str):
+        super().__init__()
+        self._encode, self._before, self._signs = encode, before, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(self.SIGNS)
+        if core and len(core) < len(piece) and core[-1].isalpha():
+            signs = piece[len(core) :]
+            if signs not in self._signs:
+                self._signs[signs] = _as_bytes(self._encode(signs))
+            found = self[core] + self._signs[signs]
+        else:
+            found = _as_bytes(self._encode(self._before + piece))
+        self[piece] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self._signs.clear()
+
+
+def _as_bytes(found) -> bytes:
+    ids = array("I", found.ids)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class Encoder:
     """A byte-level tokenizer of the ``tokenizers`` library with a cache of words.
 
     Such a tokenizer never merges over the start of a blank that follows a
-    non-blank, so a text's ids are those of the pieces cut there, and each
-    distinct piece is encoded once.
+    non-blank, nor over the place where signs follow a letter, so a text's ids
+    are those of the pieces cut there, and each distinct piece is encoded once.
     """
 
     _CUT = re.compile(r"(?<=\S) ")
     _ODD = re.compile(r"\s ")
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+
+        def encode(text: str):
+            return tokenizer.encode(text, add_special_tokens=False)
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self._known]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for piece, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._known[piece] = np.array(found.ids, "<u4").tobytes()
+        self._heads, self._rest = _Pieces(encode, ""), _Pieces(encode, " ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self._known) > CACHE_WORDS:
-            self._known.clear()
-        cut = []
+        self._heads.trim()
+        self._rest.trim()
+        out, known = [], self._rest.__getitem__
         for text in texts:
             pieces = self._CUT.split(text) if self._ODD.search(text) else text.split(" ")
-            first = pieces[0]
-            pieces = (" " + "\x00 ".join(pieces)).split("\x00") if "\x00" not in text else [" " + p for p in pieces]
-            pieces[0] = first
-            cut.append(pieces)
-        self._learn(set().union(*cut))
-        known = self._known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in cut]
+            head = self._heads[pieces[0]]
+            out.append(head + b"".join(map(known, pieces[1:])))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
