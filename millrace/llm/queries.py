@@ -22,6 +22,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -34,6 +40,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(*mix(_table(spark, sf_dir, "documents")))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
