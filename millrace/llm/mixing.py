@@ -87,6 +87,13 @@ def _running(rows: DataFrame, name: str, counts: Column) -> DataFrame:
     return rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(stripes, at).withColumn(name, F.col("before") + F.col("inside")).drop("before", "inside")
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with the facts of their sources, joined stripe by stripe so that no source meets in one task."""
+    at = ["source_key", "stripe"]
+    spread = rows.select(*at).distinct().join(facts, "source_key")
+    return rows.join(spread, at)
+
+
 def _ordered(sized: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
     """Each row's place in its source's order, and how often the mix takes it.
 
@@ -96,13 +103,13 @@ def _ordered(sized: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
     """
     key = F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("mix_text"), F.col("mix_nth"))
     keyed = sized.withColumn("key", key).withColumn("stripe", F.pmod(F.col("key"), F.lit(STRIPES))).drop("source")
-    rows = _running(keyed.join(goal, "source_key"), "place", F.lit(True))
+    rows = _running(_with_facts(keyed, goal), "place", F.lit(True))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     rows = rows.withColumn("whole", whole).withColumn("owed", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = stored(rows.withColumn("extra", (F.col("size") > 0) & (F.col("place") + F.col("size") <= F.col("owed"))), "places")
     for k in range(ROUNDS):
         gone = rows.groupBy("source_key").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("gone"))
-        rows = rows.join(gone, "source_key").withColumn("gap", F.col("owed") - F.col("gone"))
+        rows = _with_facts(rows, gone).withColumn("gap", F.col("owed") - F.col("gone"))
         small = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
         rows = _running(rows.withColumn("small", small), "next", F.col("small"))
         part = F.col("size") / 2 if k == ROUNDS - 1 else F.col("size")
