@@ -1,0 +1,77 @@
+"""Generations of tables in a folder of any store that Spark can write to.
+
+A version is a folder of Parquet tables and a one-row manifest, written last. A
+reader takes the newest version that has a manifest, so a batch is seen whole or
+not at all; writers of one version number collide on its manifest folder, and one
+of them fails.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.mutate import Batch, Refused
+from ..operators.world import World
+from .schema import Schema
+
+
+class SnapshotStore:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _manifests(self) -> list[dict]:
+        try:
+            rows = self.spark.read.schema("value string").text(f"{self.path}/manifests/*").collect()  # a row a kept version
+        except AnalysisException:
+            return []
+        return sorted((json.loads(r["value"]) for r in rows), key=lambda m: m["version"])
+
+    def version(self) -> int:
+        found = self._manifests()
+        return found[-1]["version"] if found else 0
+
+    def world(self, now: int, version: int | None = None) -> World:
+        """The tables of a version, the newest by default."""
+        found = [m for m in self._manifests() if version is None or m["version"] == version]
+        if not found:
+            raise Refused(f"no version in {self.path}")
+        m = found[-1]
+        schema = Schema.read(m["schema"])
+        if schema.digest() != m["digest"]:
+            raise Refused("the manifest does not match its digest")
+        read = lambda some: {k: self.spark.read.parquet(v) for k, v in some.items()}
+        return World(schema, read(m["tables"]), read(m["edges"]), now)
+
+    def publish(self, schema: Schema, tables: dict[str, DataFrame], edges: dict[str, DataFrame]) -> int:
+        """A new version: changed tables are written, the others' files are named again."""
+        last = self._manifests()[-1:]
+        number = (last[0]["version"] if last else 0) + 1
+        entry = {"version": number, "schema": schema.manifest(), "digest": schema.digest(), "tables": {}, "edges": {}}
+        for kind, some in (("tables", tables), ("edges", edges)):
+            kept = last[0][kind] if last else {}
+            names = {e.name for e in schema.entities} if kind == "tables" else None
+            entry[kind] = {k: v for k, v in kept.items() if names is None or k in names}
+            for name, df in some.items():
+                to = f"{self.path}/data/v{number}/{kind}/{name}"
+                df.write.parquet(to)
+                entry[kind][name] = to
+        row = self.spark.createDataFrame([(json.dumps(entry, sort_keys=True),)], "value string").coalesce(1)
+        row.write.mode("errorifexists").text(f"{self.path}/manifests/v{number}")
+        return number
+
+    def apply(self, world: World, *batches: Batch) -> int:
+        """Several checked batches as one version."""
+        tables, edges = {}, {}
+        for b in batches:
+            if tables.keys() & b.tables.keys() or edges.keys() & b.edges.keys():
+                raise Refused("two batches change one table")
+            tables |= b.tables
+            edges |= b.edges
+        return self.publish(world.schema, tables, edges)
+
+    def expired(self, keep: int) -> list[int]:
+        """Versions beyond the newest ``keep``, whose data folders may go."""
+        return [m["version"] for m in self._manifests()][:-keep]
