@@ -606,7 +606,7 @@ def shape_violations_nested(spark, sf):
 
 @query("SELECT doc_id AS id, lang AS token FROM documents WHERE doc_id % 4 = 0")
 def doc_read(spark, sf):
-    """The payload moment the head's token"""
+    """The payload of the head's token"""
     rows = b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("token"))
     payloads = rows.unionByName(rows.select("id", F.lit("old").alias("token")))
     heads = rows.filter("id % 4 = 0").withColumn("collection", F.lit("c"))
