@@ -1,0 +1,64 @@
+from datetime import date
+
+import pytest
+from edge import ROWS, documents, empty
+from millrace.llm import pii
+from pyspark.sql import functions as F
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10
+
+
+def iban_ok(text):
+    turned = text[4:] + text[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def run(spark, *texts, key="k"):
+    df = documents(spark, [(k, t, None) for k, t in enumerate(texts)])
+    return [(r["text"], r["kinds"]) for r in pii.pseudonymised(df, key).orderBy("doc_id").collect()]
+
+
+def test_formats_and_validity(spark):
+    (text, kinds), = run(spark, "card 4111 1111-1111 4111111111111111, acct 9807915762804490; ip 97.51.17.173. ssn 123-45-6789 iban DE89370400440532013000 on 1987-02-28, 28.02.1987 or 02/28/1987; call +1 (017) 555-7713 or a.b@mail7.example.com; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"")
+    assert kinds == ["card", "number", "ip", "ssn", "iban", "date", "date", "date", "phone", "email", "secret"]
+    words = text.replace(",", "").replace(";", "").split()
+    card, number = words[3], words[5]
+    assert luhn(card) == 0 and card != "4111111111111111" and luhn(number) == luhn("9807915762804490")
+    assert all(0 <= int(x) <= 255 for x in words[7].rstrip(".").split("."))
+    assert iban_ok(words[11]) and words[11][:2] == "DE" and len(words[11]) == 22
+    iso, dotted, slashed = words[13], words[14], words[16]
+    day = date.fromisoformat(iso)
+    assert 1900 <= day.year <= 2099 and dotted == day.strftime("%d.%m.%Y") and slashed == day.strftime("%m/%d/%Y")
+    assert "+1 (" in text and "555-7713" not in text and "mail7" not in text and "04dbebab" not in text and "card 4111 1111-1111" in text
+
+
+def test_equal_values_stay_linked_and_keys_matter(spark):
+    a, b, c = run(spark, "x 4111-1111-1111-1111", "other 4111111111111111 text", "ip 10.0.0.1")
+    assert a[0].split()[1].replace("-", "") == b[0].split()[1]
+    assert run(spark, "ip 10.0.0.1", key="another")[0] != c
+
+
+@pytest.mark.parametrize("text", ["ip 999.1.1.1 v1.2.3.4.5", "ssn 000-12-3456 666-12-3456 900-12-3456 123-00-4567", "day 2021-02-30 31.04.2020 13/01/2020", "iban DE00370400440532013000", "version 4.0, page 12 of 2021", "a@b", ""])
+def test_invalid_values_stay(spark, text):
+    assert run(spark, text) == [(text, [])]
+
+
+def test_permutations_are_one_to_one(spark):
+    d = spark.range(0, 1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = [r[0] for r in d.select(pii.permuted_digits("k", "x", F.col("d"))).collect()]
+    assert sorted(got) == [f"{k:03d}" for k in range(1000)] and got != sorted(got)
+    days = spark.range(0, 2000).select(F.date_format(F.expr("date_add(date'1990-01-01', cast(id as int))"), "yyyy-MM-dd").alias("d"))
+    moved = [r[0] for r in days.select(pii._date("k", F.col("d"), "yyyy-MM-dd")).collect()]
+    assert len(set(moved)) == 2000
+    pair = spark.range(0, 17 * 40).select(pii.feistel("k", "t", F.expr("id div 40"), F.expr("id % 40"), F.lit(17), F.lit(40)).alias("p"))
+    assert {(r["p"]["a"], r["p"]["b"]) for r in pair.collect()} == {(a, b) for a in range(17) for b in range(40)}
+
+
+def test_edges(spark):
+    got = pii.pseudonymised(documents(spark))
+    assert got.count() == len(ROWS) and got.filter("text is null").count() == 1 and got.agg(F.sum("n_found")).first()[0] == 0
+    assert pii.pseudonymised(empty(spark)).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
