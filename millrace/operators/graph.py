@@ -53,8 +53,8 @@ def closure_changes(before: DataFrame, edges: DataFrame, next_id: int) -> tuple[
     return kept.select("id", "left", "right").unionByName(numbered(fresh, ["left", "right"], next_id)), ended
 
 
-def numbered(rows: DataFrame, order: list[str], first: int) -> DataFrame:
-    """``rows`` with ids from ``first`` on in the given order, without gathering them in one task.
+def numbered(rows: DataFrame, order: list[str], first: int, name: str = "id") -> DataFrame:
+    """``rows`` with numbers from ``first`` on, in a column ``name``, in the given order, without gathering them in one task.
 
     Rows are range-partitioned; each partition counts from where the ones before
     it end. The counts are one small row a partition.
@@ -66,9 +66,9 @@ def numbered(rows: DataFrame, order: list[str], first: int) -> DataFrame:
         starts.append((c["part"], at - c["low"]))
         at += c["n"]
     if not starts:
-        return ranged.select(F.lit(0).cast("long").alias("id"), *rows.columns)
+        return ranged.select(F.lit(0).cast("long").alias(name), *rows.columns)
     shift = ranged.sparkSession.createDataFrame(starts, "part int, shift long")
-    return ranged.join(F.broadcast(shift), "part").select((F.col("nth") + F.col("shift")).alias("id"), *rows.columns)
+    return ranged.join(F.broadcast(shift), "part").select((F.col("nth") + F.col("shift")).alias(name), *rows.columns)
 
 
 def closes_cycle(reach: DataFrame, edges: DataFrame) -> DataFrame:

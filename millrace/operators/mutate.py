@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import violates
@@ -74,10 +73,13 @@ def with_serials(entity: Entity, fresh: DataFrame, rows: DataFrame) -> DataFrame
             continue
         scopes = list(f.serial)
         last = rows.groupBy(*scopes).agg(F.max(f.name).alias("last")) if scopes else rows.agg(F.max(f.name).alias("last"))
-        nth = F.row_number().over(W.partitionBy(*scopes).orderBy("id"))
-        counted = fresh.withColumn("nth", nth)
-        counted = counted.join(last, scopes, "left") if scopes else counted.join(F.broadcast(last))
-        fresh = counted.withColumn(f.name, F.coalesce("last", F.lit(0)) + F.col("nth")).drop("nth", "last")
+        ranked = numbered(fresh, [*scopes, "id"], 0, "nth")  # a scope may hold most rows: no window gathers it
+        if scopes:
+            starts = ranked.groupBy(*scopes).agg(F.min("nth").alias("start")).join(last, scopes, "left")
+            ranked = ranked.join(starts, scopes)
+        else:
+            ranked = ranked.withColumn("start", F.lit(0)).join(F.broadcast(last))  # one row
+        fresh = ranked.withColumn(f.name, F.coalesce("last", F.lit(0)) + F.col("nth") - F.col("start") + 1).drop("nth", "start", "last")
     return fresh
 
 

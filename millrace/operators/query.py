@@ -6,6 +6,7 @@ rows and one for each linked relation, which are never joined together.
 
 from __future__ import annotations
 
+import hashlib
 import operator
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
@@ -90,6 +91,18 @@ class Form:
     def count(self) -> Form:
         return replace(self, tally=True)
 
+    def shape(self) -> str:
+        """The query without its values: queries of one shape compile to plans of one form."""
+        bare = lambda t: f"{t.field} {t.op}"
+        tests = [f"{t.relation} {'has' if t.test is None else f'some ({bare(t.test)})'}" if isinstance(t, RelationTest) else bare(t) for t in self.tests]
+        sorts = [f"{n} {'desc' if d else 'asc'}" for n, d in self.sorts]
+        paging = [w for w, x in (("limit", self.limit), ("after", self.after)) if x is not None]
+        return "; ".join([f"from {self.entity}", *tests, *(f"link {x}" for x in self.links), *sorts, *paging, *(["count"] if self.tally else [])])
+
+    def digest(self) -> str:
+        """A name for the query with its values, for caching results of one version."""
+        return hashlib.sha256(repr(self).encode()).hexdigest()
+
 
 def form(entity: str) -> Form:
     return Form(entity)
@@ -108,6 +121,11 @@ class Pack:
         """The first row."""
         return self.rows.limit(1)
 
+    def json(self) -> dict[str, DataFrame]:
+        """The root's rows and the links as one JSON object a row."""
+        named = {self.root: self.count if self.rows is None else self.rows, **self.links}
+        return {name: df.select(F.to_json(F.struct("*")).alias("json")) for name, df in named.items()}
+
     def horizon(self) -> DataFrame:
         """The earliest end among all rows returned: until then the result stands."""
         ends = [df.select("expires_at") for df in (self.rows, *self.links.values())]

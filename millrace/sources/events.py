@@ -7,11 +7,12 @@ nullable fields at the end only; older parts read those as nulls.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,6 +229,15 @@ def within(table: EventTable, rows: DataFrame, query: EventQuery, budget: Budget
     return found
 
 
+def batches(found: DataFrame, size: int = 1024) -> Iterator[list[Row]]:
+    """A query's rows in lists of at most ``size``, one partition fetched at a time."""
+    if not 1 <= size <= 65_536:
+        raise EventError("a batch has 1 to 65536 rows")
+    rows = found.toLocalIterator(prefetchPartitions=True)
+    while some := list(islice(rows, size)):
+        yield some
+
+
 def summary(table: EventTable, rows: DataFrame) -> DataFrame:
     """(partition, since, until, rows) of each partition; ``until`` is exclusive."""
     at = F.col(table.time)

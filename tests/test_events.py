@@ -154,3 +154,12 @@ def test_join_conditions_and_budgets(spark, stored):
     for budget in (JoinBudget(build_rows=1), JoinBudget(rows=0)):
         with pytest.raises(ev.EventError):
             join(TABLE, rows, left, right, "inner", budget)
+
+
+def test_batches(spark, stored):
+    found = ev.select(TABLE, ev.read(spark, TABLE, stored), ev.EventQuery(columns=("t",)))
+    sizes = [len(b) for b in ev.batches(found, 15)]
+    assert sum(sizes) == 40 and sizes == [15, 15, 10]
+    for bad in (0, 65_537):
+        with pytest.raises(ev.EventError):
+            next(ev.batches(found, bad))

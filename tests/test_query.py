@@ -111,3 +111,11 @@ def test_count_reads_no_data_columns(spark, tmp_path):
     stored = World(w.schema, {**w.tables, "Student": spark.read.parquet(f"{tmp_path}/s")}, w.edges, w.now)
     plan = run(stored, form("Student").when("points", "=", "7").count()).count._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(points,7)" in plan and "name" not in plan.split("ReadSchema")[1]
+
+
+def test_shapes_and_digests(w):
+    a = form("Student").when("points", "=", "7").some("courses", "grade", "=", "A").link("courses").order("name", True).top(3)
+    b = form("Student").when("points", "=", "8").some("courses", "grade", "=", "B").link("courses").order("name", True).top(9)
+    assert a.shape() == b.shape() == "from Student; points =; courses some (grade =); link courses; name desc; limit"
+    assert a.digest() != b.digest() and a.digest() == form("Student").when("points", "=", "7").some("courses", "grade", "=", "A").link("courses").order("name", True).top(3).digest()
+    assert run(w, form("Course").top(1)).json()["Course"].first()["json"] == '{"id":1,"code":"m","title":"Maths 100%"}'

@@ -102,3 +102,27 @@ def test_text_casts_need_canonical_integers(spark):
     assert sorted(ids(evolve.cast_failures(w.rows("N"), "t", "text", "int"))) == [2, 3, 4, 5, 7]
     assert sorted(ids(evolve.cast_failures(w.rows("N"), "t", "text", "bool"))) == [0, 1, 2, 3, 4, 5, 7]
     assert evolve.clocks(w.tables).first()["last"] == 7
+
+
+def test_declared_classes():
+    from millrace.sources.declare import Resource, boolean, integer, link, owner, reference, relation, schema_of, serial, text
+
+    class Org(Resource, hidden=True):
+        name = text(unique=())
+
+    class Repo(Resource, frozen=True):
+        name = text(unique=("org_id",))
+        no = serial("org_id")
+        size = integer(optional=True, low=0)
+        page = link(optional=True)
+        open = boolean(default=True)
+        org = owner("Org")
+        fork = reference("Repo", optional=True)
+        stars = relation("Org", weight=integer())
+        parts = relation("Repo", closure=True)
+
+    s = schema_of(Org, Repo)
+    e = s.entity("Repo")
+    assert [f.name for f in e.fields] == ["name", "no", "size", "page", "open"] and e.frozen and s.entity("Org").hidden
+    assert e.owner.column == "org_id" and e.relation("stars").fields == (Field("weight", "int"),) and e.relation("parts_closure").target == "Repo"
+    assert Schema.read(s.manifest()).digest() == s.digest()
