@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import convert, filled, is_int_text, partition_id
+from ..functions.session import fresh_path
 from ..operators import evolve, graph, mutate
 from ..operators.eventjoin import Side, join
 from ..operators.policy import ME, Grant, Principal, run_as
 from ..operators.query import Test, form, ordered, run, selected, sort_keys
 from ..sources import documents as docs
 from ..sources import events as ev
+from ..sources.snapshots import SnapshotStore
 from ..streaming import changes
 from . import bindings as b
 from .bindings import DAY, EVENTS, NOW, sql
@@ -700,3 +702,54 @@ def feed_visible(spark, sf):
     """W3"""
     grants = [Grant("7", "see", "Orders", tests=(Test("status", "=", "O"),))]
     return changes.heard(b.world(spark, sf), _log(spark, sf), grants, _WHO).select("id", "verb", "key")
+
+
+# ---- stored and streamed ----------------------------------------------------
+
+@query(f"SELECT moment, usr, value_cents FROM e_events WHERE moment >= {_FROM} AND moment < {_TO} AND event_type = 'click'")
+def event_store(spark, sf):
+    """Written as sorted parts and read back through pruned partitions"""
+    path = fresh_path(spark, "events")
+    ev.write(EVENTS, b.events(spark, sf), path)
+    q = ev.EventQuery(_FROM, _TO, {"event_type": "click"}, ("moment", "user", "value_cents"))
+    return ev.select(EVENTS, ev.read(spark, EVENTS, path), q).withColumnRenamed("user", "usr")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'MOVED' ELSE c_mktsegment END AS segment FROM customer
+UNION ALL SELECT 5000000 + row_number() OVER (ORDER BY s_name) - 1, 'NEW' FROM supplier""")
+def snapshot_batches(spark, sf):
+    """Two versions through the snapshot store"""
+    w = b.world(spark, sf)
+    store = SnapshotStore(spark, fresh_path(spark, "snapshots"))
+    store.publish(w.schema, {n: w.tables[n] for n in ("Customer", "Nation", "Region")}, {})
+    w = store.world(NOW)
+    store.apply(w, mutate.update(w, "Customer", w.rows("Customer").filter("id % 4 = 0").select("id", F.lit("MOVED").alias("segment"))))
+    w = store.world(NOW)
+    values = b.world(spark, sf).rows("Supplier").select("name", F.lit("NEW").alias("segment"), F.lit(0).cast("long").alias("balance_cents"), "nation_id")
+    store.apply(w, mutate.insert(w, "Customer", values, 5_000_000))
+    return store.world(NOW).rows("Customer").select("id", "segment")
+
+
+@query(f"{_LOG} SELECT id, verb, key FROM log WHERE verb IN ('put', 'end') AND key IN (SELECT id FROM live_orders)")
+def feed_tail(spark, sf):
+    """The log tailed as a stream, filtered, and delivered to a sink"""
+    log, out = fresh_path(spark, "log"), fresh_path(spark, "delivered")
+    _log(spark, sf).write.parquet(log)
+    live_ids = b.world(spark, sf).rows("Orders").select(F.col("id").alias("key"))
+
+    def sink(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = changes.tail(spark, log)
+    changes.deliver(stream, sink, fresh_path(spark, "place"), units=["Orders"], verbs=["put", "end"], see=lambda rows: rows.join(live_ids, "key", "left_semi")).awaitTermination()
+    return spark.read.schema(changes.LOG).parquet(out).select("id", "verb", "key")
+
+
+@query("SELECT DISTINCT event_type AS k, CAST(user_id AS BIGINT) AS v FROM events")
+def stream_append_once(spark, sf):
+    """Rows of one token are appended once"""
+    source, out = fresh_path(spark, "in"), fresh_path(spark, "out")
+    b.table(spark, sf, "events").select(F.col("event_type").alias("k"), F.col("user_id").alias("v")).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema("k string, v long").option("maxFilesPerTrigger", 2).parquet(source)
+    changes.append_once(stream, out, fresh_path(spark, "ledger"), fresh_path(spark, "place"), ["k", "v"]).awaitTermination()
+    return spark.read.schema("k string, v long").parquet(out).select("k", "v")
