@@ -2,47 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes handled at once inside a task; a longer text forms a slice alone.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of our own is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
+from ..functions.session import fresh_path, shared_dir
 
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: Text bytes handled at once inside a task; a longer text forms a slice alone.
+SLICE_BYTES = 1 << 20
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
@@ -170,8 +153,20 @@ def window_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndar
     return mix(value[at]), at
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, changed until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id, or the smallest long for null, is not in the one column of ``gone``."""
+    key = unused(docs, "row_key")
+    other = unused(docs, "gone_key")
+    held = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
+    return held.join(gone.toDF(other).distinct(), F.col(key) == F.col(other), "left_anti").drop(key)
 
 
 def clean_ids(df: DataFrame, id_col: str) -> DataFrame:

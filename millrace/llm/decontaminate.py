@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix, plain_words
+from .common import map_slices, mix, plain_words, without_ids
 
 #: Edits, as a share of the item's words, up to which a passage counts as the item.
 EDITS = 0.15
@@ -259,5 +259,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all columns."""
-    bad = contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["leak_id"], "left_anti")
+    return without_ids(docs, contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.coalesce("doc_id", F.lit(-(2**63)))), id_col)

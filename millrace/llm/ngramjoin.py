@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_ids, cut, map_slices, plain_words, stored, window_hashes
+from .common import clean_ids, cut, map_slices, plain_words, slices, stored, window_hashes, without_ids
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -35,7 +35,7 @@ STEP = 24
 #: Smallest posterior probability of reaching the threshold with which a pair is kept.
 TOLERANCE = 1e-6
 #: Texts, and characters of text, in a block of a large component.
-BLOCK_TEXTS, BLOCK_CHARS = 1024, 8_000_000
+BLOCK_TEXTS, BLOCK_CHARS = 1024, 2_000_000
 #: Texts compared at once inside a task.
 TILE = 256
 
@@ -181,7 +181,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         edges = cut(small.select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).filter("a <> b").distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.countDistinct("a").alias("d")).first()
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == last or state["n"] == 0:
             break
         last = state
@@ -218,12 +218,16 @@ def _compare_group(part: pa.Table, threshold: float, tolerance: float, n: int) -
     """Links inside one group of rows (lo, hi, comp, side, node, copies, text)."""
     part = part.combine_chunks()
     nodes = part["node"].to_numpy()
-    keys, offsets = ngram_sets(part["text"].chunk(0), n)
-    names = _names(keys, offsets)
+    sets, signs, names = [], [], []
+    for a, b in slices(part["text"].chunk(0)):
+        keys, offsets = ngram_sets(part["text"].chunk(0).slice(a, b - a), n)
+        sets += [keys[i:j].copy() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        signs.append(minhashes(keys, offsets))
+        names += _names(keys, offsets)
+    signs = np.concatenate(signs)
     # an id may have further texts, and rows may repeat: each set is compared once
     first = {node: k for k, node in reversed(list(enumerate(nodes.tolist()))) if names[k] == node}
     own = np.array(sorted(first.values()), np.int64)
-    signs, sets = minhashes(keys, offsets), np.split(keys, offsets[1:-1])
     comp, side, copies = part["comp"].to_numpy(), part["side"].to_numpy(), part["copies"].to_numpy()
     apart = part["lo"][0].as_py() != part["hi"][0].as_py()
     links = Links(len(nodes))
@@ -283,6 +287,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with all columns."""
     groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.filter("doc_id <> class_id").select(F.col("doc_id").alias("near_copy_id")).distinct()
-    held = docs.withColumn("near_copy_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    return held.join(gone, F.col("near_copy_key") == F.col("near_copy_id"), "left_anti").drop("near_copy_key")
+    return without_ids(docs, groups.filter("doc_id <> class_id").select("doc_id"), id_col)

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, without_ids
 
 #: Labelled documents that a model is fitted on, at most.
-TRAIN_DOCS = 5_000
+TRAIN_DOCS = 4_000
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 #: Documents of the sample that must hold a feature.
@@ -61,29 +61,52 @@ class Model:
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Weights that maximise the noisy-or likelihood of the documents' labels."""
     y = np.array(labels, float)
-    held: dict[str, int] = {}
+    words: dict[str, int] = {}
+    names: dict[str, int] = {}
+    flat, ends = array("i"), array("q", [0])
+
+    def number(word: str) -> int:
+        k = words.setdefault(word, len(words))
+        if k == len(ends) - 1:  # a new word: its features
+            flat.extend(names.setdefault(f, len(names)) for f in _features(word))
+            ends.append(len(flat))
+        return k
+
     docs = []
     for text in texts:
-        bags = [_WORD.findall(s.lower()) for s in sentences(text)]
+        bags = (array("i", map(number, _WORD.findall(s))) for s in sentences((text or "").lower()))
         docs.append([b for b in bags if b])
-        for f in {f for b in docs[-1] for w in set(b) for f in _features(w)}:
-            held[f] = held.get(f, 0) + 1
-    known = {f: k for k, f in enumerate(sorted(f for f, n in held.items() if n >= LEAST_DOCS))}
-    if not known or not y.any() or y.all():
+    feats, ends = np.array(flat), np.array(ends)
+
+    def features_of(some: np.ndarray) -> np.ndarray:
+        """The distinct features of some words."""
+        size = ends[some + 1] - ends[some]
+        first = np.repeat(ends[some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        return np.unique(feats[first + np.arange(size.sum())])
+
+    held = np.zeros(len(names), np.int64)
+    for bags in docs:
+        if bags:
+            held[features_of(np.unique(np.concatenate(bags)))] += 1
+    known = held >= LEAST_DOCS
+    place = np.cumsum(known) - 1
+    if not known.any() or not y.any() or y.all():
         share = float(np.clip(y.mean() if len(y) else 0.01, 0.001, 0.999))
         return Model({}, float(np.log(share / (1 - share))))
     pieces, cols, starts, doc_of = [], array("i"), array("i"), array("i")
     for d, bags in enumerate(docs):
         for b in bags:
-            own = {known[f] for w in b for f in _features(w) if f in known}
-            if own:
+            own = features_of(np.unique(b))
+            own = place[own[known[own]]]
+            if len(own):
                 starts.append(len(cols))
-                cols.extend(own)
+                cols.frombytes(own.astype(np.int32).tobytes())
                 doc_of.append(d)
-        docs[d] = None
         if len(cols) >= PIECE or d == len(docs) - 1 and cols:
             pieces.append(tuple(np.frombuffer(x, np.int32) for x in (cols, starts, doc_of)))
             cols, starts, doc_of = array("i"), array("i"), array("i")
+    docs.clear()
+    known = {f: int(place[k]) for f, k in names.items() if known[k]}
     w, bias = np.zeros(len(known)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -173,5 +196,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the cutoff, with all columns."""
-    bad = toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["toxic_id"], "left_anti")
+    return without_ids(docs, toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.coalesce("doc_id", F.lit(-(2**63)))), id_col)
