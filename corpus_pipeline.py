@@ -7,11 +7,9 @@ return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import shared_dir
+from millrace.functions.session import fresh_path
 from millrace.llm.decontaminate import decontaminated
 from millrace.llm.mixing import mix, mixed_documents
 from millrace.llm.ngramjoin import keep_one
@@ -65,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table of documents."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/millrace-stage-{uuid.uuid4().hex}"
+        path = fresh_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
