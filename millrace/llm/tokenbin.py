@@ -118,17 +118,17 @@ class _Pieces(dict):
 
     def __init__(self, encode, before: str):
         super().__init__()
-        self._encode, self._before, self._signs = encode, before, {}
+        self._encode, self._before, self._signs = encode, before, {}  # encode: ids of a text
 
     def __missing__(self, piece: str) -> bytes:
         core = piece.rstrip(self.SIGNS)
         if core and len(core) < len(piece) and core[-1].isalpha():
             signs = piece[len(core) :]
             if signs not in self._signs:
-                self._signs[signs] = _as_bytes(self._encode(signs))
+                self._signs[signs] = self._encode(signs)
             found = self[core] + self._signs[signs]
         else:
-            found = _as_bytes(self._encode(self._before + piece))
+            found = self._encode(self._before + piece)
         self[piece] = found
         return found
 
@@ -138,11 +138,16 @@ class _Pieces(dict):
             self._signs.clear()
 
 
-def _as_bytes(found) -> bytes:
-    ids = array("I", found.ids)
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
+class _Letters(dict):
+    """What a byte-level pre-tokenizer writes for a character, by its code point."""
+
+    def __init__(self, split):
+        super().__init__()
+        self._split = split
+
+    def __missing__(self, point: int) -> str:
+        self[point] = found = "".join(part for part, _ in self._split(chr(point)))
+        return found
 
 
 class Encoder:
@@ -159,11 +164,22 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
-
-        def encode(text: str):
-            return tokenizer.encode(text, add_special_tokens=False)
+        model, plain = tokenizer.model, tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, ByteLevel)
+        letters = _Letters(tokenizer.pre_tokenizer.pre_tokenize_str) if plain else None
+
+        def encode(text: str) -> bytes:
+            word = text[1:] if text[:1] == " " else text
+            if plain and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                # one word: the model alone is asked, without the rest of the library's work on a text
+                ids = array("I", [t.id for t in model.tokenize(text.translate(letters))])
+            else:
+                ids = array("I", tokenizer.encode(text, add_special_tokens=False).ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            return ids.tobytes()
 
         self._heads, self._rest = _Pieces(encode, ""), _Pieces(encode, " ")
 
