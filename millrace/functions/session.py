@@ -20,4 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what lies there goes when the application ends."""
+    path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
