@@ -7,6 +7,8 @@ is a fixed reading time. ``PRELUDE`` defines the same tables in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,18 +88,39 @@ def part_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter("p_partkey >= 1").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 10").alias("left"), F.col("p_partkey").alias("right"), none.alias("expires_at"), none.alias("created_at"), none.alias("updated_at"))
 
 
+class Lazy(Mapping):
+    """Tables that are opened when they are asked for: a query reads the footers of its own tables only."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def world(spark: SparkSession, sf_dir: str, now: int = NOW) -> World:
     t = lambda name: table(spark, sf_dir, name)
     tables = {
-        "Region": _entity(t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), "Region"),
-        "Nation": _entity(t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region_id")), "Nation"),
-        "Customer": _entity(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), cents("c_acctbal").alias("balance_cents"), F.col("c_nationkey").alias("nation_id")), "Customer"),
-        "Supplier": _entity(t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), cents("s_acctbal").alias("balance_cents"), F.col("s_nationkey").alias("nation_id")), "Supplier"),
-        "Part": _entity(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size")), "Part"),
-        "Orders": orders(spark, sf_dir),
+        "Region": lambda: _entity(t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), "Region"),
+        "Nation": lambda: _entity(t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region_id")), "Nation"),
+        "Customer": lambda: _entity(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), cents("c_acctbal").alias("balance_cents"), F.col("c_nationkey").alias("nation_id")), "Customer"),
+        "Supplier": lambda: _entity(t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), cents("s_acctbal").alias("balance_cents"), F.col("s_nationkey").alias("nation_id")), "Supplier"),
+        "Part": lambda: _entity(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size")), "Part"),
+        "Orders": lambda: orders(spark, sf_dir),
     }
-    edges = {"Orders.parts": order_parts(spark, sf_dir), "Part.children": part_children(spark, sf_dir)}
-    return World(SCHEMA, tables, edges, now)
+    edges = {"Orders.parts": lambda: order_parts(spark, sf_dir), "Part.children": lambda: part_children(spark, sf_dir)}
+    return World(SCHEMA, Lazy(tables), Lazy(edges), now)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
