@@ -123,8 +123,8 @@ def line_hashes(docs: DataFrame, min_points: int) -> DataFrame:
     return map_slices(docs, "text", one, "doc_id long, h1 long, h2 long")
 
 
-def build_index(probes: DataFrame, min_docs: int) -> DataFrame:
-    """The sharded hash with its arrays, one row a shard; counts are of distinct ids."""
+def build_index(probes: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """The sharded hash with its arrays, one row a shard, and the number of shards; counts are of distinct ids."""
     counted = probes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
     often = stored(counted.filter(F.col("n_docs") >= min_docs), "often")
     total = often.agg(F.count("*").alias("n"), F.sum("n_docs").alias("p")).first()
