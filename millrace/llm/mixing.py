@@ -46,10 +46,10 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with (mix_id, mix_text, mix_nth), which tells all rows apart, equal ones too."""
+def identified(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with (mix_id, mix_text, mix_nth), which tells all rows apart, equal ones too; sources order repeated ones, as in ``mix``."""
     keyed = docs.withColumn("mix_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("mix_text", F.xxhash64(F.col(text_col)))
-    return keyed.withColumn("mix_nth", F.row_number().over(W.partitionBy("mix_id", "mix_text").orderBy(F.lit(0))))
+    return keyed.withColumn("mix_nth", F.row_number().over(W.partitionBy("mix_id", "mix_text").orderBy(source_key(F.col(source_col).cast("string")))))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -181,10 +181,10 @@ def taken_words(ordered: DataFrame, mixed: DataFrame) -> DataFrame:
     return ordered.join(gone, row, "left").select(doc_id, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "shards")
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, shuffled within shards."""
     row = ["mix_id", "mix_text", "mix_nth"]
-    own = docs.select(F.struct("*").alias("mix_row"), F.col(id_col).alias("mix_doc"), F.col(text_col).alias("mix_body"))
-    found = identified(own, "mix_doc", "mix_body").join(mixed.select(*row, "shard", "position"), row)
+    own = docs.select(F.struct("*").alias("mix_row"), F.col(id_col).alias("mix_doc"), F.col(text_col).alias("mix_body"), F.col(source_col).alias("mix_source"))
+    found = identified(own, "mix_doc", "mix_body", "mix_source").join(mixed.select(*row, "shard", "position"), row)
     dealt = found.repartition("shard", F.pmod("position", F.lit(64))).sortWithinPartitions("shard", "position")
     return dealt.select("mix_row.*")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from edge import ROWS, Planted, documents, empty, table
 from millrace.llm import mixing as m
+from pyspark.sql import functions as F
 
 
 def goals(sizes, share=1.5, most=2.0):
@@ -99,3 +100,13 @@ def test_edges(spark):
     assert table(m.mixed_documents(empty(spark), m.mix(empty(spark))[1]), "doc_id") == []
     with pytest.raises(ValueError, match="power"):
         m.mix(empty(spark), shards=3)
+
+
+def test_repeated_rows_of_several_sources_keep_their_own_counts(spark):
+    """A row that another source repeats is taken as often as its own source says."""
+    rows = [(k, f"word {k} " * 5, s) for k in range(40) for s in ("b", "a")] + [(100 + k, "long text " * 40, "c") for k in range(20)]
+    docs = documents(spark, rows)
+    ordered, mixed = m.mix(docs)
+    told = {r.source: r.n for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    drawn = {r.source: r.n for r in m.mixed_documents(docs, mixed).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert told == drawn
