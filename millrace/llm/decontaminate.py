@@ -15,14 +15,16 @@ known to the items, and rare ones among these. They never drop a match.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix, plain_words, without_ids
+from .common import filter_texts, map_slices, mix, plain_words
 
 #: Edits, as a share of the item's words, up to which a passage counts as the item.
 EDITS = 0.15
@@ -231,6 +233,17 @@ def _pass(docs: DataFrame, searcher: Searcher) -> DataFrame:
     return map_slices(docs, "text", one, SCHEMA)
 
 
+def searchers(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Searcher]:
+    """Searchers that hold all items between them, each of bounded size; one at least."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, -(-chars // (5 * PASS_WORDS)))
+    for k in range(passes):
+        some = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        rows = some.orderBy("item_id", "text").collect()  # bounded: a pass takes about PASS_WORDS words
+        yield Searcher([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row: doc_id, contaminated, and the items found with their edits and places.
 
@@ -242,21 +255,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     further columns are not looked at.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-chars // (5 * PASS_WORDS)))
-    out = None
-    for k in range(passes):
-        some = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        rows = some.orderBy("item_id", "text").collect()  # bounded: a pass takes about PASS_WORDS words
-        found = _pass(own, Searcher([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        out = found if out is None else out.unionByName(found)
-    if passes == 1:
+    found = [_pass(own, searcher) for searcher in searchers(benchmark, item_col, item_text_col)]
+    out = reduce(DataFrame.unionByName, found)
+    if len(found) == 1:
         return out
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     return out.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").cast("int").alias("n_items"), flat("items"), flat("edits"), flat("places"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all columns."""
-    return without_ids(docs, contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.coalesce("doc_id", F.lit(-(2**63)))), id_col)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all columns; each row is judged by its own text."""
+    for searcher in searchers(benchmark, item_col, item_text_col):
+        docs = filter_texts(docs, text_col, lambda texts, searcher=searcher: [not x for x in searcher.search(texts)])
+    return docs

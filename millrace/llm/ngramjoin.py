@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_ids, cut, map_slices, plain_words, slices, stored, window_hashes, without_ids
+from .common import clean_ids, cut, map_slices, plain_words, slices, stored, window_hashes, without_rows
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -197,7 +197,7 @@ def _names(keys: np.ndarray, offsets: np.ndarray) -> list[int | None]:
 
 
 def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, node, bands): per row, the name of its n-gram set, and band hashes."""
+    """(doc_id, mark, node, bands): per row of (doc_id, text, mark), the name of its n-gram set, and band hashes."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, offsets = ngram_sets(batch.column(1), n)
@@ -209,9 +209,9 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
             value ^= value >> np.uint64(29)
         flat = pa.array(value.view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * BANDS), flat)
-        return pa.record_batch([batch.column(0), pa.array(_names(keys, offsets), pa.int64()), bands], names=["doc_id", "node", "bands"])
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(_names(keys, offsets), pa.int64()), bands], names=["doc_id", "mark", "node", "bands"])
 
-    return map_slices(docs, "text", one, "doc_id long, node long, bands array<long>")
+    return map_slices(docs, "text", one, "doc_id long, mark long, node long, bands array<long>")
 
 
 def _compare_group(part: pa.Table, threshold: float, tolerance: float, n: int) -> pa.Table:
@@ -250,7 +250,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id counts as the smallest long. An empty table gives an empty result;
     further columns are not looked at.
     """
-    own = clean_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    return _groups(docs, id_col, text_col, threshold, tolerance, n).drop("mark")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = WORDS) -> DataFrame:
+    """``near_groups`` with mark, a hash of the row's text that tells texts of one id apart."""
+    own = clean_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")), "doc_id")
     signed = stored(signatures(own, n), "signatures")
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
     classes = stored(classes, "classes")
@@ -280,11 +285,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lowest = known.groupBy("root").agg(F.min("set_id").alias("class_id"))
     known = known.join(lowest, "root").join(counts, "node", "left")
     known = known.select("node", "set_id", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "node").join(known, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("set_id", "doc_id").alias("set_id"))
+    out = signed.select("doc_id", "mark", "node").join(known, "node", "left")
+    return out.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("set_id", "doc_id").alias("set_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, with all columns."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    return without_ids(docs, groups.filter("doc_id <> class_id").select("doc_id"), id_col)
+    """The rows of ``docs`` whose id is the smallest of their group, with all columns.
+
+    Texts of one id are judged one by one; rows of one id in one group, rows
+    without id among them, count as one document and stay together.
+    """
+    gone = _groups(docs, id_col, text_col, **options).filter("doc_id <> class_id").select("doc_id", "mark")
+    return without_rows(docs, gone, id_col, text_col)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, without_ids
+from .common import filter_texts, map_slices
 
 #: Labelled documents that a model is fitted on, at most.
 TRAIN_DOCS = 4_000
@@ -148,6 +149,33 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
 
+class Scorer:
+    """Scores texts and their sentences; a worker keeps the weights of words it has met."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, float] = {}
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[float, np.ndarray]]:
+        """Each text's score, and its sentences' chances."""
+        known, bias = self.known, self.model.bias
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for text in texts.to_pylist():
+            z = []
+            for sentence in sentences((text or "").lower()):
+                total, words = bias, set(_WORD.findall(sentence))
+                for w in words:
+                    value = known.get(w)
+                    if value is None:
+                        value = known[w] = self.model.word(w)
+                    total += value
+                z.append(total if words else -np.inf)
+            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700))) if z else np.zeros(0)
+            p[np.isneginf(z)] = 0
+            yield float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), p
+
+
 SCHEMA = "doc_id long, score double, n_sentences int, offending array<int>"
 
 
@@ -158,28 +186,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     equal rows; an empty table gives an empty result; further columns are not
     looked at.
     """
-    weights, bias = model.weights, model.bias
-    cache: dict[str, float] = {}
+    scorer = Scorer(model)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, get = Model(weights, bias), cache.get
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         scores, counts, spots = [], [], []
-        for text in batch.column(1).to_pylist():
-            z = []
-            for sentence in sentences((text or "").lower()):
-                total, words = bias, set(_WORD.findall(sentence))
-                for w in words:
-                    value = get(w)
-                    if value is None:
-                        value = cache[w] = own.word(w)
-                    total += value
-                z.append(total if words else -np.inf)
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700))) if z else np.zeros(0)
-            p[np.isneginf(z)] = 0
-            scores.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
-            counts.append(len(z))
+        for score, p in scorer(batch.column(1)):
+            scores.append(score)
+            counts.append(len(p))
             spots.append(np.flatnonzero(p >= CUTOFF).tolist())
         return pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int32()), pa.array(spots, pa.list_(pa.int32()))], names=["doc_id", "score", "n_sentences", "offending"])
 
@@ -194,6 +207,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"), "n_sentences", "offending")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the cutoff, with all columns."""
-    return without_ids(docs, toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.coalesce("doc_id", F.lit(-(2**63)))), id_col)
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` whose text scores below the cutoff, with all columns; each row is judged by its own text."""
+    scorer = Scorer(fit(*sample(docs, labels, id_col, text_col, label_col)))
+    return filter_texts(docs, text_col, lambda texts: [score < CUTOFF for score, _ in scorer(texts)])

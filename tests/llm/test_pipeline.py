@@ -1,7 +1,9 @@
 import corpus_pipeline
 import pytest
-from edge import Planted
+from edge import Planted, documents
 from millrace.llm import queries as q
+from millrace.llm.decontaminate import decontaminated
+from millrace.llm.ngramjoin import keep_one
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +48,17 @@ def test_registered():
     names = q.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(q.oracle_sql()) <= set(names)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    """Copies and benchmark passages go, other texts of the same id, or of none, stay."""
+    p = Planted(31)
+    first, other, item = p.text(60), p.text(60), p.text(40)
+    docs = documents(spark, [(1, first, "a"), (2, first, "a"), (2, other, "a"), (None, item, "a"), (None, p.text(30), "b"), (3, None, "b")])
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text == first) for r in kept.collect()) == [(0, False), (0, False), (1, True), (2, False), (3, False)]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    clean = decontaminated(docs, items)
+    assert "Exchange" not in clean._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id or 0 for r in clean.collect()) == [0, 1, 2, 2, 3]
