@@ -5,9 +5,11 @@ Koucky, 2016) reads a sequence with one random bit for each word and step: the
 walk shows the word it stands on and moves on if the bit is 1. Sequences at a
 small edit distance show words at a small Hamming distance, and a hash of a few
 sampled steps collides for them often. Windows of the items' sizes slide over
-all words of a document; each repetition has its own walk and samples, and as
-many repetitions are made as a trial with edited windows needs for the target
-recall. Collisions are verified by the edit distance itself.
+all words of a document; each repetition has its own walk and samples, and each
+window size gets as many repetitions as a trial with its windows, edited as much
+as allowed, needs for the target recall. Where ``MOST_ROUNDS`` don't reach it,
+items are found exactly: of an item's pieces, one more than its edits, one lies
+unchanged in every match. What is found is verified by the edit distance itself.
 
 Before the walk, two counts that every true match must reach drop windows: words
 known to the items, and rare ones among these. They never drop a match.
@@ -32,6 +34,10 @@ EDITS = 0.15
 MIN_WORDS = 5
 RECALL = 0.98
 SAMPLES, MOST_ROUNDS = 3, 24
+#: Pieces found in texts that are looked at together, about.
+BLOCK = 1 << 19
+#: Edited windows of each size in the trial.
+TRIALS = 400
 MOST_WINDOW = 256
 #: Words known to more than this share of the items count as frequent.
 FREQUENT = 0.02
@@ -49,14 +55,25 @@ def window_sizes() -> list[int]:
     return out
 
 
+@dataclass
+class Pieces:
+    """Pieces of one size: sorted hashes, with the owner item of each and its offset there."""
+
+    size: int
+    keys: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+
+
 @dataclass
 class Family:
-    """Windows of one size: owner item, offset in it, words; and the counts a match must reach."""
+    """Windows of one size: owner item, offset in it, words, most edits; and the counts a match must reach."""
 
     size: int
     item: list[int] = field(default_factory=list)
     offset: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
+    edits: list[int] = field(default_factory=list)
     known: int = 1 << 30
     rare: int = 1 << 30
     tables: list = field(default_factory=list)
@@ -79,6 +96,14 @@ def _walk(ids: np.ndarray, at: np.ndarray, size: int, bits: list[np.ndarray], st
     return value
 
 
+def _run_hashes(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each of ``at``."""
+    value = np.full(len(at), 0x9D5, np.uint64)
+    for k in range(size):
+        value = mix(value * np.uint64(3) + ids[at + k].astype(np.uint64))
+    return value
+
+
 class Searcher:
     """Items made ready for a search; sent to the tasks as a whole, of bounded size."""
 
@@ -97,12 +122,16 @@ class Searcher:
             held[np.unique(x)] += 1
         self.is_rare = (held > 0) & (held <= max(1, FREQUENT * len(self.items)))
         self._rng = np.random.default_rng(seed)
-        self.families = self._windows()
-        self.rounds = self._rounds(recall)
-        self.salts = [int(x) for x in self._rng.integers(1, 2**62, self.rounds)]
+        self.rares = [int(self.is_rare[x].sum()) for x in self.items]
+        salts = [int(x) for x in self._rng.integers(1, 2**62, MOST_ROUNDS)]
+        windows = self._windows()
+        rounds = {f.size: self._rounds(f, salts, recall) for f in windows}
+        self.families = [f for f in windows if rounds[f.size]]
+        self.salts = salts[: max((rounds[f.size] for f in self.families), default=0)]
+        self.pieces = self._pieces(sorted({k for f in windows if not rounds[f.size] for k in f.item}))
         for f in self.families:
             flat, at = np.concatenate(f.words), np.arange(len(f.words)) * f.size
-            for salt in self.salts:
+            for salt in self.salts[: rounds[f.size]]:
                 steps = self._steps(f.size, salt)
                 keys = _walk(flat, at, f.size, self._bits(flat, salt, f.size), steps)
                 order = np.argsort(keys)
@@ -117,7 +146,7 @@ class Searcher:
             for at in sorted({*range(0, parts * n, n), len(x) - n}):
                 f = found.setdefault(n, Family(n))
                 words = x[at : at + n]
-                f.item.append(k), f.offset.append(at), f.words.append(words)
+                f.item.append(k), f.offset.append(at), f.words.append(words), f.edits.append(most)
                 f.known = min(f.known, n - most)
                 f.rare = min(f.rare, int(self.is_rare[words].sum()) - most)
         return [found[n] for n in sorted(found)]
@@ -132,14 +161,16 @@ class Searcher:
         base = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return [mix(base ^ np.uint64(salt + block)) for block in range((2 * size >> 6) + 1)]
 
-    def _rounds(self, recall: float) -> int:
-        """Repetitions by which windows with as many edits as allowed collide with chance ``recall``."""
-        rng, hits, tries = np.random.default_rng(17), 0, 0
-        pool = [(f, w) for f in self.families for w in f.words]
-        for k in rng.permutation(len(pool))[:400]:
-            f, words = pool[k]
-            edited = list(words)
-            for _ in range(int(EDITS * f.size)):
+    def _rounds(self, f: Family, salts: list[int], recall: float) -> int:
+        """Repetitions by which windows of ``f`` with as many edits as allowed collide with chance ``recall``; 0 if ``salts`` are too few.
+
+        Counted over windows and repetitions together, so that windows that rarely collide aren't made up for by others.
+        """
+        rng, rows = np.random.default_rng(17), []
+        for k in range(TRIALS):
+            own = int(rng.integers(len(f.words))) if len(f.words) > TRIALS else k % len(f.words)
+            edited = list(f.words[own])
+            for _ in range(f.edits[own]):
                 at, kind = int(rng.integers(len(edited))), int(rng.integers(3))
                 if kind == 0:
                     edited[at] = 0
@@ -147,14 +178,59 @@ class Searcher:
                     del edited[at]
                 else:
                     edited.insert(at, 0)
-            edited = (edited + [0] * f.size)[: f.size]
-            for salt in rng.integers(1, 2**62, 4):
-                steps = self._steps(f.size, int(salt))
-                both = np.concatenate([words, edited]).astype(np.int64)
-                keys = _walk(both, np.array([0, f.size]), f.size, self._bits(both, int(salt), f.size), steps)
-                hits, tries = hits + int(keys[0] == keys[1]), tries + 1
-        p = min(max(hits / max(tries, 1), 0.02), 0.98)
-        return int(np.clip(np.ceil(np.log(1 - recall) / np.log(1 - p)), 4, MOST_ROUNDS))
+            rows.append(np.concatenate([f.words[own], (edited + [0] * f.size)[: f.size]]))
+        flat, at = np.concatenate(rows).astype(np.int64), np.arange(2 * TRIALS) * f.size
+        caught = np.zeros(TRIALS, bool)
+        need = recall + 2 * np.sqrt(recall * (1 - recall) / TRIALS)  # two standard errors of the trial
+        for k, salt in enumerate(salts, 1):
+            keys = _walk(flat, at, f.size, self._bits(flat, salt, f.size), self._steps(f.size, salt))
+            caught |= keys[0::2] == keys[1::2]
+            if caught.mean() >= need:
+                return k
+        return 0
+
+    def _pieces(self, chosen: list[int]) -> list[Pieces]:
+        """The disjoint pieces of the items ``chosen``: each edit changes one at most, so a match holds one unchanged."""
+        found: dict[int, list] = {}
+        for k in chosen:
+            x, n = self.items[k], self.edits[k] + 1
+            cuts = [len(x) * j // n for j in range(n + 1)]
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                found.setdefault(to - at, []).append((k, at))
+        out = []
+        for size, owners in sorted(found.items()):
+            item, offset = np.array(owners, np.int64).T
+            flat = np.concatenate([self.items[k][at : at + size] for k, at in owners])
+            keys = _run_hashes(flat, np.arange(len(owners)) * size, size)
+            order = np.argsort(keys, kind="stable")
+            out.append(Pieces(size, keys[order], item[order], offset[order]))
+        return out
+
+    def _unchanged(self, ids: np.ndarray, first: np.ndarray, known: np.ndarray, rare: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, where it would start, a word in the match) of each piece in the texts, if the counts around it allow a match."""
+        pairs: list[tuple[int, int, int]] = []
+        items = [np.array(x, np.int64) for x in (list(map(len, self.items)), self.edits, self.rares)]
+        for p in self.pieces:
+            if len(ids) < p.size:
+                continue
+            at = np.flatnonzero(known[p.size :] - known[: -p.size] == p.size)
+            at = at[at + p.size <= first[np.searchsorted(first, at, side="right")]]
+            keys = _run_hashes(ids, at, p.size)
+            low, high = np.searchsorted(p.keys, keys, "left"), np.searchsorted(p.keys, keys, "right")
+            hit = np.flatnonzero(high > low)
+            sums = np.cumsum(high[hit] - low[hit])
+            for block in np.split(hit, np.flatnonzero(np.diff(sums // BLOCK)) + 1):  # many items may share a piece
+                n = high[block] - low[block]
+                inside = np.repeat(at[block], n)
+                entry = np.repeat(low[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                item = p.item[entry]
+                start = inside - p.offset[entry]
+                size, most, rares = (x[item] for x in items)
+                doc = np.searchsorted(first, inside, side="right") - 1
+                begin, end = np.maximum(first[doc], start - most), np.minimum(first[doc + 1], start + size + most)
+                fits = (known[end] - known[begin] >= size - most) & (rare[end] - rare[begin] >= rares - most)
+                pairs += zip(item[fits].tolist(), start[fits].tolist(), inside[fits].tolist(), strict=True)
+        return pairs
 
     def _ids(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary's numbers of words, 0 for others."""
@@ -179,12 +255,12 @@ class Searcher:
         """For each text: item number -> (edit distance, word at which it is found)."""
         hashes, first = plain_words(texts)
         found: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(first) - 1)]
-        if not len(hashes) or not self.families:
+        if not len(hashes) or not self.items:
             return found
         ids = self._ids(hashes)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         rare = np.concatenate([[0], np.cumsum(self.is_rare[ids])])
-        pairs = []
+        pairs = self._unchanged(ids, first, known, rare)
         places = []
         for f in self.families:
             if len(ids) < f.size:
@@ -193,12 +269,10 @@ class Searcher:
             at = np.flatnonzero((known[f.size :] - known[: -f.size] >= f.known) & (rare[f.size :] - rare[: -f.size] >= f.rare))
             owner = np.searchsorted(first, at, side="right") - 1
             places.append(at[at + f.size <= first[owner + 1]])
-        longest = max(f.size for f in self.families)
         for k, salt in enumerate(self.salts):
-            bits = self._bits(ids, salt, longest)
-            for f, at in zip(self.families, places, strict=True):
-                if not len(at):
-                    continue
+            due = [(f, at) for f, at in zip(self.families, places, strict=True) if len(at) and k < len(f.tables)]
+            bits = self._bits(ids, salt, max(f.size for f, _ in due)) if due else []
+            for f, at in due:
                 keys = _walk(ids, at, f.size, bits, self._steps(f.size, salt))
                 sorted_keys, order = f.tables[k]
                 low, high = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
@@ -206,11 +280,13 @@ class Searcher:
                 for h in hit:
                     for e in order[low[h] : high[h]]:
                         pairs.append((f.item[e], at[h] - f.offset[e], at[h]))
+        last = (-1, -1, 0)
         for item, start, inside in sorted(set(pairs)):
             doc = int(np.searchsorted(first, inside, side="right")) - 1
             best, most, n = found[doc].get(item), self.edits[item], len(self.items[item])
-            if best and best[0] == 0:
-                continue
+            if best and best[0] == 0 or last[:2] == (item, doc) and start - last[2] <= most:
+                continue  # what lies around a start up to ``most`` words before has been verified
+            last = (item, doc, start)
             low, high = max(first[doc], start - 2 * most), min(first[doc + 1], start + n + 2 * most)
             text = ids[low:high]
             if len(text) < n - most or np.isin(text, self.items[item]).sum() < n - most:

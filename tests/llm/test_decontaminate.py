@@ -75,6 +75,30 @@ def test_against_brute_force():
     assert missed <= 1
 
 
+def _edited(p, words, kinds=(0, 1, 2)):
+    """``words`` with as many edits as an item may have, of the given kinds: replaced, deleted, added."""
+    words, n = list(words), int(c.EDITS * len(words))
+    for _ in range(n):
+        at, kind = p.r.randrange(len(words)), p.r.choice(kinds)
+        if kind == 0:
+            words[at] = "edited"
+        elif kind == 1:
+            del words[at]
+        else:
+            words.insert(at, "added")
+    return words
+
+
+@pytest.mark.parametrize("size", [7, 14, 20, 40, 100, 300])
+def test_most_edits_are_found_at_every_size(size):
+    """Short items beside them, which always collide, don't lower the repetitions."""
+    p = Planted(31)
+    items = [p.words(size) for _ in range(40)] + [p.words(5) for _ in range(200)]
+    texts = [p.words(30) + _edited(p, items[k % 40]) + p.words(30) for k in range(160)]
+    found = c.Searcher(list(range(240)), [" ".join(x) for x in items]).search(pa.array([" ".join(x) for x in texts]))
+    assert sum(k % 40 in got for k, got in enumerate(found)) >= 0.97 * 160
+
+
 def test_distance_is_exact():
     r, searcher = np.random.default_rng(3), c.Searcher([1], ["a b c d e f"])
     for _ in range(50):
