@@ -12,7 +12,8 @@ items are found exactly: of an item's pieces, one more than its edits, one lies
 unchanged in every match. What is found is verified by the edit distance itself.
 
 Before the walk, two counts that every true match must reach drop windows: words
-known to the items, and rare ones among these. They never drop a match.
+known to the items, and rare ones among these. They never drop a match. Unknown
+words follow each text, so that a window may begin where fewer words remain.
 """
 
 from __future__ import annotations
@@ -241,6 +242,16 @@ class Searcher:
             out[maybe] = np.where(self.vocabulary[at] == hashes[maybe], at + 1, 0)
         return out
 
+    @staticmethod
+    def _padded(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``ids`` with ``pad`` unknown words after each text, so that windows may run over its end; each word's place in ``ids``, and each text's first word."""
+        texts = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        bounds = first + pad * np.arange(len(first))
+        out, origin = np.zeros(bounds[-1], np.int64), np.full(bounds[-1], -1, np.int64)
+        to = np.arange(len(ids)) + pad * texts
+        out[to], origin[to] = ids, np.arange(len(ids))
+        return out, origin, bounds
+
     def distance(self, item: int, text: np.ndarray) -> int:
         """The least edit distance of the item to any part of ``text``."""
         words, n = self.items[item], len(text)
@@ -262,24 +273,26 @@ class Searcher:
         rare = np.concatenate([[0], np.cumsum(self.is_rare[ids])])
         pairs = self._unchanged(ids, first, known, rare)
         places = []
+        pad = max((f.size for f in self.families), default=0)
+        padded, origin, bounds = self._padded(ids, first, pad)
+        known = np.concatenate([[0], np.cumsum(padded > 0)])
+        rare = np.concatenate([[0], np.cumsum(self.is_rare[padded])])
         for f in self.families:
-            if len(ids) < f.size:
-                places.append(np.zeros(0, np.int64))
-                continue
             at = np.flatnonzero((known[f.size :] - known[: -f.size] >= f.known) & (rare[f.size :] - rare[: -f.size] >= f.rare))
-            owner = np.searchsorted(first, at, side="right") - 1
-            places.append(at[at + f.size <= first[owner + 1]])
+            owner = np.searchsorted(bounds, at, side="right") - 1
+            places.append(at[at + f.size <= bounds[owner + 1]])
         for k, salt in enumerate(self.salts):
             due = [(f, at) for f, at in zip(self.families, places, strict=True) if len(at) and k < len(f.tables)]
-            bits = self._bits(ids, salt, max(f.size for f, _ in due)) if due else []
+            bits = self._bits(padded, salt, max(f.size for f, _ in due)) if due else []
             for f, at in due:
-                keys = _walk(ids, at, f.size, bits, self._steps(f.size, salt))
+                keys = _walk(padded, at, f.size, bits, self._steps(f.size, salt))
                 sorted_keys, order = f.tables[k]
                 low, high = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
                 hit = np.flatnonzero(high > low)
                 for h in hit:
+                    inside = int(origin[at[h]])
                     for e in order[low[h] : high[h]]:
-                        pairs.append((f.item[e], at[h] - f.offset[e], at[h]))
+                        pairs.append((f.item[e], inside - f.offset[e], inside))
         last = (-1, -1, 0)
         for item, start, inside in sorted(set(pairs)):
             doc = int(np.searchsorted(first, inside, side="right")) - 1

@@ -99,6 +99,20 @@ def test_most_edits_are_found_at_every_size(size):
     assert sum(k % 40 in got for k, got in enumerate(found)) >= 0.97 * 160
 
 
+@pytest.mark.parametrize("kinds", [(1,), (0, 1, 2)])
+@pytest.mark.parametrize("size", [7, 8, 10, 14, 25, 60])
+def test_edited_items_at_the_end_and_as_the_whole(size, kinds):
+    p = Planted(32)
+    items = [p.words(size) for _ in range(40)]
+    texts = []
+    for k in range(160):
+        texts += [p.words(30) + _edited(p, items[k % 40], kinds), _edited(p, items[k % 40], kinds)]
+    found = c.Searcher(list(range(40)), [" ".join(x) for x in items]).search(pa.array([" ".join(x) for x in texts]))
+    for got in (found[0::2], found[1::2]):
+        assert sum(k % 40 in x for k, x in enumerate(got)) >= 0.97 * 160
+    assert c.Searcher([1], [" ".join(items[0])]).search(pa.array([" ".join(items[0][:-1])])) == [{0: (1, 0)}]
+
+
 def test_distance_is_exact():
     r, searcher = np.random.default_rng(3), c.Searcher([1], ["a b c d e f"])
     for _ in range(50):
