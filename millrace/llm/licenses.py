@@ -161,7 +161,6 @@ class Model:
     weights: dict[str, np.ndarray]
     bias: np.ndarray
     heat: float
-    cues: frozenset
 
     def chances(self, words: list[str]) -> np.ndarray:
         z = self.bias.copy()
@@ -177,8 +176,6 @@ class Model:
         """(family, chance, confirmed) of each run of ``words`` that is predicted to be a notice."""
         out = []
         for run in runs(words):
-            if self.cues.isdisjoint(run):
-                continue
             p = self.chances(run)
             best = int(p.argmax())
             if best and p[best] >= CERTAIN:
@@ -244,31 +241,17 @@ def fit(background: list[str]) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE / (1 + step / 40) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         b -= 0.1 * pull.sum(0)
-    common = {w for w, k in _counts(background).items() if k > 0.02 * max(len(background), 1)}
-    cues = frozenset(x for some in NOTICES.values() for notice in some for x in _words(notice) if x not in common or x in _ALWAYS)
-    model = Model({g: w[:, k].copy() for g, k in names.items() if np.abs(w[:, k]).max() > 1e-4}, b, 1.0, cues)
+    model = Model({g: w[:, k].copy() for g, k in names.items() if np.abs(w[:, k]).max() > 1e-4}, b, 1.0)
     held = data[cut:]
     best = np.inf
     for heat in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0):
-        trial = Model(model.weights, b, heat, cues)
+        trial = Model(model.weights, b, heat)
         loss = -sum(np.log(max(trial.chances(words)[k], 1e-12)) for words, k in held)
         if loss < best:
             best, model = loss, trial
     return model
 
 
-#: Words of notices that count as their sign however common they are.
-_ALWAYS = frozenset("license licensed licenses spdx copyright reserved gnu apache mit bsd isc cc cc0 mozilla permission redistribution".split())
-
-
-def _counts(background: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for x in background:
-        for w in set(_words(x)):
-            out[w] = out.get(w, 0) + 1
-    return out
-
-
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most ``BACKGROUND`` paragraphs of the ``BACKGROUND_DOCS`` documents with the smallest hashes of their ids."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")

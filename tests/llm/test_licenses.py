@@ -46,6 +46,15 @@ def test_held_out_variants():
     assert model.find(s._words("some words about a licence for fishing in the general area")) == []
 
 
+def test_frequent_notices_are_found():
+    """However often a notice stands in the documents."""
+    p = Planted(7)
+    notes = {"This work has been dedicated to the public domain.": "CC0", "This is free and unencumbered software released into the public domain.": "CC0", "Confidential and proprietary: unauthorized copying of this file, via any medium, is strictly prohibited.": "Proprietary"}
+    for note, family in notes.items():
+        model = s.fit([note if k % 30 == 0 else p.text(12) for k in range(1_500)])
+        assert [(f, sure) for f, _, sure in model.find(s._words(note))] == [(family, True)]
+
+
 def test_templates_confirm():
     assert s.overlap(s._words("Licensed under the Apache License, Version 2.0"), "Apache-2.0") == 1
     assert s.overlap(s._words("the apache helicopter landed"), "Apache-2.0") < s.OVERLAP
