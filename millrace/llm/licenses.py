@@ -8,6 +8,9 @@ temperature fitted on paragraphs held out from training calibrates the
 probabilities; a family is predicted from a calibrated probability of
 ``CERTAIN`` on. A prediction stands if the paragraph holds ``OVERLAP`` of the word
 pairs of some notice of that family.
+
+Lines are classified one by one; besides, where consecutive lines with words hold
+a notice between them, the words it spans are classified together.
 """
 
 from __future__ import annotations
@@ -156,6 +159,71 @@ def overlap(words: list[str], family: str) -> float:
     return max(len(t & own) / len(t) for t in _TEMPLATES[family])
 
 
+#: The notices that hold each word pair, and the pairs a notice needs.
+_HOLDERS: dict[tuple[str, str], list[int]] = {}
+_NEEDED: list[float] = []
+for _own in (t for some in _TEMPLATES.values() for t in some):
+    for _pair in _own:
+        _HOLDERS.setdefault(_pair, []).append(len(_NEEDED))
+    _NEEDED.append(OVERLAP * len(_own))
+
+
+def spans(words: list[str]) -> list[tuple[int, int]]:
+    """Disjoint spans of ``words`` that hold ``OVERLAP`` of a notice's word pairs within ``RUN`` words."""
+    pairs = list(zip(words, words[1:], strict=False))
+    if _HOLDERS.keys().isdisjoint(pairs):
+        return []
+    hits: dict[int, list[int]] = {}
+    for at, pair in enumerate(pairs):
+        for t in _HOLDERS.get(pair, ()):
+            hits.setdefault(t, []).append(at)
+    found = []
+    for t, places in hits.items():
+        if len(places) < _NEEDED[t]:
+            continue
+        k = 0
+        while k < len(places):
+            best = (0, 0, 0, k)
+            for i in range(k, len(places)):
+                if places[i] > places[k] + RUN:
+                    break
+                seen: set[tuple[str, str]] = set()
+                for j in range(i, len(places)):
+                    if places[j] + 2 > places[i] + RUN:
+                        break
+                    if pairs[places[j]] not in seen:
+                        seen.add(pairs[places[j]])
+                        best = max(best, (len(seen), places[i] - places[j], -places[i], j))
+            count, length, start, last = best
+            if count >= _NEEDED[t]:
+                found.append((-start, -start - length + 2))
+                k = last + 1
+            else:
+                k += 1
+    out: list[tuple[int, int]] = []
+    for at, to in sorted(found):
+        if out and at < out[-1][1]:
+            out[-1] = (out[-1][0], max(to, out[-1][1]))
+        else:
+            out.append((at, to))
+    return out
+
+
+def wrapped(lines: list[list[str]]) -> list[tuple[int, int, list[str]]]:
+    """(first line, last line, words) of each span that holds a notice across consecutive lines with words."""
+    out, at = [], 0
+    while at < len(lines):
+        to = at
+        while to < len(lines) and lines[to]:
+            to += 1
+        if to > at + 1:
+            owner = [k for k in range(at, to) for _ in lines[k]]
+            words = [w for line in lines[at:to] for w in line]
+            out += [(owner[a], owner[b - 1], words[a:b]) for a, b in spans(words) if owner[a] < owner[b - 1]]
+        at = to + 1
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, np.ndarray]
@@ -252,11 +320,23 @@ def fit(background: list[str]) -> Model:
     return model
 
 
+def _plain_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The lines with words, without those of notices over several lines, which aren't ordinary text."""
+    rows = []
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        lines = paragraphs(text)
+        words = [_words(x) for x in lines]
+        taken = {k for at, to, _ in wrapped(words) for k in range(at, to + 1)}
+        rows += [(doc_id, k, x) for k, x in enumerate(lines) if words[k] and k not in taken]
+    ids, places, kept = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(kept, pa.string())], names=["doc_id", "at", "line"])
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """At most ``BACKGROUND`` paragraphs of the ``BACKGROUND_DOCS`` documents with the smallest hashes of their ids."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     chosen = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("licence")), "doc_id").limit(BACKGROUND_DOCS)
-    lines = own.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter("length(trim(line)) > 0")
+    lines = map_slices(own.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text"), "text", _plain_lines, "doc_id long, at int, line string")
     rows = lines.orderBy(F.xxhash64("doc_id", "at", "line"), "doc_id", "at", "line").limit(BACKGROUND).collect()  # bounded
     return [r["line"] for r in rows]
 
@@ -268,7 +348,8 @@ def scan_with(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """Per row: doc_id, licensed, families, the paragraphs' places and chances, n_unconfirmed.
 
     ``families``, ``places`` and ``chances`` list the confirmed findings in page
-    order; ``n_unconfirmed`` counts predictions that no template confirms. Null
+    order, a notice over several lines at its first; ``n_unconfirmed`` counts
+    predictions in lines that no template confirms, but for lines of such a notice. Null
     and empty texts hold none. Equal rows give equal rows, an empty table an
     empty result; further columns are not looked at.
     """
@@ -276,18 +357,29 @@ def scan_with(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         families, places, chances, others = [], [], [], []
         for text in batch.column(1).to_pylist():
-            found, loose = [], 0
-            for at, line in enumerate(paragraphs(text)):
+            found, loose = [], []
+            lines = [_words(line) for line in paragraphs(text)]
+            for at, words in enumerate(lines):
                 seen: set[str] = set()
-                for family, p, sure in model.find(_words(line)):
-                    loose += not sure
-                    if sure and family not in seen:
+                for family, p, sure in model.find(words):
+                    if not sure:
+                        loose.append((family, at))
+                    elif family not in seen:
                         seen.add(family)
                         found.append((family, at, p))
+            for at, to, words in wrapped(lines):
+                for family, p, sure in model.find(words):
+                    if sure:
+                        part = next((x for x in found if x[0] == family and at <= x[1] <= to), None)
+                        if part:  # one of its lines alone is confirmed too
+                            found.remove(part)
+                        found.append((family, at, p))
+                        loose = [x for x in loose if not at <= x[1] <= to]
+            found.sort(key=lambda x: x[1])
             families.append([f for f, _, _ in found])
             places.append([a for _, a, _ in found])
             chances.append([p for _, _, p in found])
-            others.append(loose)
+            others.append(len(loose))
         return pa.record_batch([batch.column(0), pa.array([bool(f) for f in families]), pa.array(families, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(chances, pa.list_(pa.float64())), pa.array(others, pa.int32())], names=["doc_id", "licensed", "families", "places", "chances", "n_unconfirmed"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

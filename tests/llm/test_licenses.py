@@ -55,6 +55,26 @@ def test_frequent_notices_are_found():
         assert [(f, sure) for f, _, sure in model.find(s._words(note))] == [(family, True)]
 
 
+def test_wrapped_notices(spark):
+    """Headers broken over lines, with comment signs or without, beside ordinary lines and after blank ones."""
+    p = Planted(8)
+    notes = {
+        "GPL": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License."],
+        "LGPL": ["This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public License."],
+        "BSD": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+    }
+    rows, want = [], {}
+    for k in range(48):
+        family = [*notes, None][k % 4]
+        lines = [p.text(9) for _ in range(3)]
+        if family:
+            lines += ([""] if k % 8 < 4 else []) + [("# " if k % 3 else "") + x for x in notes[family]]
+            want[k] = (family, lines.index(next(x for x in lines if x.endswith(notes[family][0]))))
+        rows.append((k, "\n".join([*lines, p.text(9)]), None))
+    for r in s.scan(documents(spark, rows)).collect():
+        assert list(zip(r["families"], r["places"])) == ([want[r["doc_id"]]] if r["doc_id"] in want else []), r
+
+
 def test_templates_confirm():
     assert s.overlap(s._words("Licensed under the Apache License, Version 2.0"), "Apache-2.0") == 1
     assert s.overlap(s._words("the apache helicopter landed"), "Apache-2.0") < s.OVERLAP
