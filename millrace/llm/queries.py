@@ -17,9 +17,9 @@ def tokenizer_path() -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymised
+    from .pii import KEY, pseudonymised
 
-    return pseudonymised(_table(spark, sf_dir, "documents"))
+    return pseudonymised(_table(spark, sf_dir, "documents"), spark.conf.get("spark.millrace.pii.key", KEY))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
