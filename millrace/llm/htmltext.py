@@ -27,75 +27,159 @@ STEPS, RATE, RIDGE = 150, 0.25, 2e-4
 
 # ---- reading pages into blocks ----------------------------------------------
 
-#: Elements that break lines, that hold no text to show, and that have no end tag.
+#: Elements that break lines.
 BREAKING = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul video audio canvas object".split()
 )
-HIDDEN = frozenset("script style noscript template textarea svg math title select iframe object".split())
+#: Elements whose content is no text, to the page's end if they aren't closed.
+RAW = frozenset("script style textarea".split())
+#: Elements whose content is not shown; without an end tag only the start tag goes.
+UNSHOWN = frozenset("noscript template svg title select iframe annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table div section article body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
+#: A tag's quoted values may hold ">"; where quotes don't close, the tag ends at the first one.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+'){0,400}+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>", re.S
+)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*")
 
 
+class Node:
+    """An open element: its tag, names and parent; equal ones of one page are one node."""
+
+    __slots__ = ("parent", "tag", "names", "item", "inherited", "inmost", "own")
+
+    def __init__(self, parent: Node | None, tag: str, names: str):
+        self.parent, self.tag, self.names = parent, tag, names
+        #: The nearest element up from here that holds items or is one.
+        self.item = self if tag in HOLDS or tag in ENDS else parent.item if parent else None
+        more = {f"in {tag}", *(f"named {m}" for m in _meanings(names))}
+        above = parent.inherited if parent else frozenset()
+        self.inherited = above if more <= above else above | more  # shared: there are few tags and meanings
+        self.inmost = tag if tag in ("article", "main", "aside", "nav", "header", "footer", "form", "section") else parent.inmost if parent else "-"
+        self.own: list[str] | None = None
+
+    def features(self) -> list[str]:
+        if self.own is None:
+            self.own = ["bias", *sorted(self.inherited), f"leaf {self.tag}", *sorted(f"leaf named {m}" for m in _meanings(self.names)), f"inmost {self.inmost}"]
+        return self.own
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple  # of (tag, names), from the root
+    node: Node | None  # the innermost element it begins in
     linked: int  # characters inside links
 
 
+class _Open:
+    """The elements open at a place of a page. All steps are constant time, or paid by the elements they close."""
+
+    def __init__(self) -> None:
+        self.top: Node | None = None
+        self._known: dict[tuple[Node | None, str, str], Node] = {}
+        self._count: dict[str, int] = {}
+
+    def push(self, tag: str, names: str) -> None:
+        key = (self.top, tag, names)
+        node = self._known.get(key)
+        if node is None:
+            node = self._known[key] = Node(*key)
+        self.top = node
+        self._count[tag] = self._count.get(tag, 0) + 1
+
+    def pop(self) -> None:
+        self._count[self.top.tag] -= 1
+        self.top = self.top.parent
+
+    def close(self, tag: str) -> None:
+        """The innermost element ``tag`` ends, with all inside it; an end tag of none is ignored."""
+        if self._count.get(tag):
+            while self.top.tag != tag:
+                self.pop()
+            self.pop()
+
+    def end_items(self, tag: str) -> None:
+        """An open item that a start tag ``tag`` ends, if no holder of items lies between."""
+        if not any(self._count.get(x) for x in ENDS[tag]):
+            return
+        node = self.top.item if self.top else None
+        while node is not None:
+            if node.tag in ENDS[tag]:
+                while self.top is not node:
+                    self.pop()
+                self.pop()
+                return
+            if node.tag in HOLDS:
+                return
+            node = node.parent.item if node.parent else None
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack, unclosed = _Open(), set()
     parts: list[str] = []
-    path: tuple = ()
-    linked, in_link, at, end = 0, False, 0, len(page)
+    node: Node | None = None
+    linked, in_link, at = 0, False, 0
+    end = page.rfind(">") + 1  # no tag ends beyond
 
     def add(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal node, linked
         if not raw:
             return
-        if not parts or not path:
-            path = tuple(stack)
+        if not parts or node is None:
+            node = stack.top
         parts.append(raw)
         if in_link:
             linked += len(raw.strip())
 
     def flush() -> None:
-        nonlocal parts, linked, path
+        nonlocal parts, linked, node
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, path, linked))
-        parts, linked, path = [], 0, ()
+                out.append(Block(text, node, linked))
+        parts, linked, node = [], 0, None
+
+    def beyond(name: str, at: int) -> int | None:
+        """Where the next end tag ``name`` ends."""
+        if name in unclosed:
+            return None
+        stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+        if stop is None:
+            unclosed.add(name)
+            return None
+        return stop.end()
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, end)
         if m is None:
-            add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
+            if at == end and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)  # a comment that isn't closed
             continue  # a comment or declaration
         closing, name, rest = bool(m[1] or m[4]), name.lower(), m[3] if m[2] else m[6]
-        if name in HIDDEN and not closing:
+        if not closing and (name in RAW or name in UNSHOWN):
             if name in BREAKING:
                 flush()
-            if not (rest or "").endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
-            add(" ")
-            continue
+            done = at if name == "svg" and rest.endswith("/") else beyond(name, at)
+            if done is None and name in RAW:
+                done = len(page)
+            if done is not None:
+                at = done
+                add(" ")
+                continue
         if name == "a":
             in_link = not closing
         if name == "br" or name == "img":
@@ -105,23 +189,15 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         in_link = in_link and name not in ("li", "td", "p")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            stack.close(name)
             continue
-        if stack and stack[-1][0] == "p":
+        if stack.top and stack.top.tag == "p":
             stack.pop()
         if name in ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ENDS[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDS:
-                    break
-        if name not in VOID and not (rest or "").endswith("/"):
-            names = " ".join(x.strip("\"'") for x in _NAMES.findall(rest)) if rest else ""
-            stack.append((name, names))
+            stack.end_items(name)
+        if name not in VOID:  # a slash closes nothing but foreign elements
+            stack.push(name, " ".join(x.strip("\"'") for x in _NAMES.findall(rest)) if rest else "")
+    add(page[at:])
     flush()
     return out
 
@@ -151,18 +227,8 @@ def _meanings(names: str) -> set[str]:
 
 def features(page: list[Block]) -> list[list[str]]:
     out, n = [], len(page)
-    cache: dict[tuple, list[str]] = {}
     for k, b in enumerate(page):
-        own = cache.get(b.path)
-        if own is None:
-            tags = {t for t, _ in b.path}
-            own = ["bias", *(f"in {t}" for t in sorted(tags)), *sorted({f"named {m}" for _, names in b.path if names for m in _meanings(names)})]
-            own.append(f"leaf {b.path[-1][0] if b.path else '-'}")
-            if b.path and b.path[-1][1]:
-                own += sorted(f"leaf named {m}" for m in _meanings(b.path[-1][1]))
-            inner = next((t for t, _ in reversed(b.path) if t in ("article", "main", "aside", "nav", "header", "footer", "form", "section")), "-")
-            own.append(f"inmost {inner}")
-            cache[b.path] = own
+        own = b.node.features() if b.node else ["bias", "leaf -", "inmost -"]
         words = b.text.count(" ") + 1
         share = b.linked / max(len(b.text), 1)
         more = [
@@ -176,7 +242,7 @@ def features(page: list[Block]) -> list[list[str]]:
         cue = _CUES.search(b.text)
         if cue:
             more.append(f"cue {words > 25}")
-        if k and page[k - 1].path == b.path:
+        if k and page[k - 1].node is b.node:
             more.append("like before")
         out.append(own + more)
     return out
@@ -428,8 +494,9 @@ def default_field(n: int = TRAIN_PAGES) -> Field:
         pages = []
         for page, states in labelled(n):
             found = blocks(page)
-            if len(found) == len(states):
-                pages.append((features(found), states))
+            if len(found) != len(states):
+                raise AssertionError("a made page isn't read as its labels say")
+            pages.append((features(found), states))
         _fields[n] = train(pages)
     return _fields[n]
 

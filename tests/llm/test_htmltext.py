@@ -1,4 +1,6 @@
 import itertools
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -53,6 +55,63 @@ def test_broken_pages(field, page):
     assert "\n\n" not in text and text == text.strip()
 
 
+def read(page):
+    return [b.text for b in h.blocks(page)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<p>next", ["let x=2 be", "next"]),
+        *((f"<p>a<{tag} class='y'>b<p>c", ["ab", "c"]) for tag in ("svg", "noscript", "template")),
+        *((f"<p>a<{tag}>b<p>c", ["a", "b", "c"]) for tag in ("select", "object")),
+        ("<p>a<svg><text>no</text></svg>b<noscript>no</noscript>", ["a b"]),
+        ("<p>a<svg/>b", ["a b"]),
+        ("<script src=/js/>alert(1)</script><p>text", ["text"]),
+        ("<p>a<script>never closed <p>b", ["a"]),
+        ("<div/>a<div/>b", ["a", "b"]),
+        ("<title>no</title><p>yes<title>kept", ["yes", "kept"]),
+        ("a <b <p>c > d 1 < 2 and <3", ["a c > d 1 < 2 and <3"]),
+        ("<p title='a > b'>x<p data-y=\"<p>no</p>\">z", ["x", "z"]),
+        ("<ul><li>1<ul><li>1.1<li>1.2</ul><li>2</ul>tail", ["1", "1.1", "1.2", "2", "tail"]),
+        ("<table><tr><td>a<td>b<tr><th>c</table>d", ["a", "b", "c", "d"]),
+        ("<dl><dt>a<dd>b<dt>c</dl>", ["a", "b", "c"]),
+        ("x&amp;y &lt;b&gt; &nbsp;&#8212; &unknown; &#x41;", ["x&y <b> \u2014 &unknown; A"]),
+        ("<p>a<br>b\n\tc<img src=x>d<b>e</b>f", ["a b c def"]),
+    ],
+)
+def test_reading_by_hand(page, want):
+    assert read(page) == want
+
+
+def test_paths_by_hand():
+    def path(node):
+        return [*path(node.parent), node.tag] if node else []
+
+    found = h.blocks("<body><div id=a><ul><li>1<li>2</ul></nav><p>3<div>4</div>5</body>6")
+    assert [(b.text, path(b.node)) for b in found] == [
+        ("1", ["body", "div", "ul", "li"]), ("2", ["body", "div", "ul", "li"]), ("3", ["body", "div", "p"]), ("4", ["body", "div", "div"]), ("5", ["body", "div"]), ("6", []),
+    ]
+    assert found[0].node is found[1].node
+
+
+UNITS = ["<div>x", "<div><p>x", "<header><li></li>x", "<li>x", "<dt><ul>x<dd></dd>", "<svg>x", "<a '>'", "<a =\">\"", "<a", "<a '", "</div>", "<b>x</p>", "<!-", "<!--x", "<select><option>x", "<td>x</nav>", "&amp;", "<h1 class=a>x", "<p id='"]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_reading_takes_time_in_proportion(field, unit):
+    """30,000 repetitions in good time and little memory: nesting costs nothing."""
+    page = unit * 30_000
+    tracemalloc.start()
+    began = time.process_time()
+    found = h.blocks(page)
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and took < 12  # tracing slows it about fivefold
+    states = field.decode(h.features(found[:1000]))
+    assert len(states) == len(found[:1000])
+
+
 def test_training_gradient_and_viterbi_against_all_paths():
     r = np.random.default_rng(0)
     field = h.Field({f"f{k}": tuple(r.normal(size=2)) for k in range(6)}, r.normal(size=(2, 2)).tolist())
