@@ -174,13 +174,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id, or the smallest long for null, and hash of the text are not both in a row of ``gone``."""
-    key, mark = unused(docs, "row_key"), unused(docs, "row_mark")
-    other, body = unused(docs, "gone_key"), unused(docs, "gone_mark")
-    held = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn(mark, F.xxhash64(text_col))
-    same = (F.col(key) == F.col(other)) & (F.col(mark) == F.col(body))
-    return held.join(gone.toDF(other, body).distinct(), same, "left_anti").drop(key, mark)
+#: Rows of one key that a task may meet, at least; and keys with more rows than that, at most.
+HOT_ROWS, HOT_KEYS = 256, 50_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has a row a key and the number ``n`` of the key's rows; inner or left.
+
+    ``total`` is at least the number of all rows, so fewer than ``HOT_KEYS`` keys
+    hold more than ``total / HOT_KEYS`` rows each: their facts are broadcast. The
+    others are shuffled, and no key brings many rows to one task.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    mark = unused(rows, "is_hot")
+    tagged = rows.join(F.broadcast(facts.filter(F.col(n) > most).withColumn(mark, F.lit(True))), on, "left")
+    hot = tagged.filter(F.col(mark).isNotNull()).drop(mark)
+    rest = tagged.filter(F.col(mark).isNull()).select(*rows.columns)
+    return hot.unionByName(rest.join(facts.filter(F.col(n) <= most), on, how))
 
 
 def clean_ids(df: DataFrame, id_col: str) -> DataFrame:

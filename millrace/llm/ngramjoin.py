@@ -1,18 +1,23 @@
 """Similarity join on word n-grams with Bayesian candidate pruning.
 
 1. Each text becomes the set of hashes of its runs of five words; texts with
-   the same set form a class, represented by its smallest id.
+   the same set form a class, told apart by 128 bits and represented by the text
+   of its smallest id.
 2. MinHash values of the representatives are cut into bands; representatives
-   that share a band are linked to the smallest id of their bucket, so a bucket
-   of n texts costs n rows. Connected components of these links hold all
-   candidate pairs.
-3. Components are compared in tasks: small ones whole and many to a task, large
-   ones as pairs of blocks. A task compares MinHash values step by step, drops a
-   pair as soon as the posterior probability that it reaches the threshold is
-   below the tolerance, and counts the rest exactly from the sets. It returns,
-   per text, the number of its links and one neighbour for its local group, so
-   the rows grow with the texts and not with the pairs.
+   that share a band are linked to the smallest of their bucket, so a bucket of n
+   texts costs n rows. Connected components of these links hold all candidates.
+3. Candidates are compared in tasks: small components whole and many to a task,
+   large ones as pairs of blocks, or bucket by bucket where that sends fewer
+   texts, as for long chains; a pair that shares several buckets counts in the
+   first. A task compares MinHash values step by step, drops a pair as soon as the
+   posterior probability that it reaches the threshold is below the tolerance, and
+   counts the rest exactly from the sets. It returns, per text, the number of its
+   links and one neighbour for its local group, so the rows grow with the texts
+   and not with the pairs.
 4. The local groups are joined to the classes' final groups.
+
+Joins that meet a hub, a large class or a large component broadcast the facts of
+these keys, whose number is bounded, and shuffle the others.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_ids, cut, map_slices, plain_words, slices, stored, window_hashes, without_rows
+from .common import clean_ids, cut, map_slices, plain_words, slices, spread_join, stored, unused, window_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -133,8 +139,8 @@ class Links:
                 return
 
 
-def compare(links: Links, sets: list[np.ndarray], signs: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> None:
-    """Compare all pairs of texts ``left`` x ``right`` (i < j where these are the same)."""
+def compare(links: Links, sets: list[np.ndarray], signs: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float, slot: int = -1) -> None:
+    """Compare all pairs of texts ``left`` x ``right`` (i < j where these are the same), but those that share a band before ``slot``."""
     sizes = np.array([len(x) for x in sets], np.int64)
     needed = [(k, least_matches(k, threshold, tolerance)) for k in range(STEP, signs.shape[1] + 1, STEP)]
     same = left is right
@@ -157,6 +163,10 @@ def compare(links: Links, sets: list[np.ndarray], signs: np.ndarray, copies: np.
                 m += (signs[x[i], upto - STEP : upto] == signs[y[j], upto - STEP : upto]).sum(axis=1)
                 keep = m >= least
                 i, j, m = i[keep], j[keep], m[keep]
+            if slot > 0 and len(i):
+                agree = signs[x[i], : slot * ROWS] == signs[y[j], : slot * ROWS]
+                new = ~agree.reshape(len(i), slot, ROWS).all(axis=2).any(axis=1)
+                i, j = i[new], j[new]
             if len(i):
                 both = _exact([sets[k] for k in x], [sets[k] for k in y], np.column_stack([i, j]))
                 union = sizes[x[i]] + sizes[y[j]] - both
@@ -173,31 +183,34 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     which every row points to a smaller id, until nothing changes.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    size = lambda: edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    state = size()
     for _ in range(rounds):
+        if state["n"] == 0:
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
+        large = spread_join(both.filter("b > a"), low, ["a"], "n", 2 * state["n"]).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["a"], "n", 2 * state["n"])
         edges = cut(small.select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).filter("a <> b").distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == last or state["n"] == 0:
+        last, state = state, size()
+        if state == last:
             break
-        last = state
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def _names(keys: np.ndarray, offsets: np.ndarray) -> list[int | None]:
-    """A 64-bit name for each set, equal for equal sets; None for the empty set."""
+def _names(keys: np.ndarray, offsets: np.ndarray) -> tuple[list[int | None], list[int | None]]:
+    """The halves of a 128-bit name for each set, equal for equal sets; None for the empty set."""
+    digests = [hashlib.blake2b(keys[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     read = lambda d: int.from_bytes(d, "little", signed=True)
-    return [read(hashlib.blake2b(keys[a:b].tobytes(), digest_size=8).digest()) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return [d and read(d[:8]) for d in digests], [d and read(d[8:]) for d in digests]
 
 
 def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, mark, node, bands): per row of (doc_id, text, mark), the name of its n-gram set, and band hashes."""
+    """(doc_id, mark, h1, h2, chars, bands): per row of (doc_id, text, mark), the name of its n-gram set, and band hashes."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, offsets = ngram_sets(batch.column(1), n)
@@ -209,33 +222,62 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
             value ^= value >> np.uint64(29)
         flat = pa.array(value.view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * BANDS), flat)
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array(_names(keys, offsets), pa.int64()), bands], names=["doc_id", "mark", "node", "bands"])
+        h1, h2 = _names(keys, offsets)
+        chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).cast(pa.int64())
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), chars, bands], names=["doc_id", "mark", "h1", "h2", "chars", "bands"])
 
-    return map_slices(docs, "text", one, "doc_id long, mark long, node long, bands array<long>")
+    return map_slices(docs, "text", one, "doc_id long, mark long, h1 long, h2 long, chars long, bands array<long>")
 
 
 def _compare_group(part: pa.Table, threshold: float, tolerance: float, n: int) -> pa.Table:
-    """Links inside one group of rows (lo, hi, comp, side, node, copies, text)."""
+    """Links inside one group of rows (lo, hi, comp, slot, side, node, copies, text); a node comes once in a (comp, slot)."""
     part = part.combine_chunks()
-    nodes = part["node"].to_numpy()
-    sets, signs, names = [], [], []
+    sets, signs = [], []
     for a, b in slices(part["text"].chunk(0)):
         keys, offsets = ngram_sets(part["text"].chunk(0).slice(a, b - a), n)
         sets += [keys[i:j].copy() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
         signs.append(minhashes(keys, offsets))
-        names += _names(keys, offsets)
     signs = np.concatenate(signs)
-    # an id may have further texts, and rows may repeat: each set is compared once
-    first = {node: k for k, node in reversed(list(enumerate(nodes.tolist()))) if names[k] == node}
-    own = np.array(sorted(first.values()), np.int64)
-    comp, side, copies = part["comp"].to_numpy(), part["side"].to_numpy(), part["copies"].to_numpy()
+    node, comp, slot, side, copies = (part[c].to_numpy() for c in ("node", "comp", "slot", "side", "copies"))
     apart = part["lo"][0].as_py() != part["hi"][0].as_py()
-    links = Links(len(nodes))
-    order = own[np.lexsort((nodes[own], side[own], comp[own]))]
-    for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+    links = Links(len(node))
+    order = np.lexsort((node, side, slot, comp))
+    for rows in np.split(order, np.flatnonzero((np.diff(comp[order]) != 0) | (np.diff(slot[order]) != 0)) + 1):
         left, right = rows[side[rows] == 0], rows[side[rows] == 1]
-        compare(links, sets, signs, copies, left, right if apart else left, threshold, tolerance)
-    return pa.table({"node": pa.array(nodes[own]), "n": pa.array(links.count[own]), "near": pa.array(nodes[links.root[own]])})
+        compare(links, sets, signs, copies, left, right if apart else left, threshold, tolerance, int(slot[rows[0]]))
+    return pa.table({"node": pa.array(node), "n": pa.array(links.count), "near": pa.array(node[links.root])})
+
+
+def _blocks(n: str, chars: str):
+    return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
+
+
+def _candidates(classes: DataFrame, total: int) -> DataFrame:
+    """(node, set_id, set_mark, copies, comp, slot, blocks): what is compared with what, a node in one group or in a group for each bucket."""
+    banded = classes.select("node", F.posexplode("bands").alias("slot", "band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).filter("m > 1")
+    linked = stored(spread_join(banded, buckets, ["band"], "m", BANDS * total), "buckets")
+    comps = components(linked.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    members = stored(classes.drop("bands", "h1", "h2").join(comps.select(F.col("id").alias("node"), F.col("root").alias("comp")), "node"), "members")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
+    sizes = stored(sizes.withColumn("blocks", _blocks("n", "all_chars")).drop("all_chars"), "components")
+    whole = spread_join(members, sizes, ["comp"], "n", total).drop("n", "chars").withColumn("slot", F.lit(-1))
+    large = sizes.filter("blocks > 1")
+    if large.isEmpty():
+        return whole
+    # a large component goes by its buckets, if these send fewer texts than its pairs of blocks
+    inside = spread_join(members, large, ["comp"], "n", total)
+    placed = linked.select("node", "slot", "band").join(inside.drop("n", "blocks"), "node")
+    fills = placed.groupBy("comp", "band").agg(F.count("*").alias("m"), F.sum("chars").alias("all_chars"))
+    fills = stored(fills.withColumn("band_blocks", _blocks("m", "all_chars")), "bucket-sizes")
+    costs = fills.groupBy("comp").agg(F.sum(F.col("m") * F.col("band_blocks")).alias("cost"))
+    chains = stored(large.join(costs, "comp").filter("cost < n * blocks").select("comp", "n"), "chains")
+    split = spread_join(placed, chains.withColumn("m", F.col("n") * BANDS).drop("n"), ["comp"], "m", BANDS * total).drop("m", "chars")
+    filled = fills.join(chains.select("comp"), "comp", "left_semi").select("band", "m", F.col("band_blocks").alias("blocks"))
+    split = spread_join(split, filled, ["band"], "m", BANDS * total).drop("m", "comp").withColumnRenamed("band", "comp")
+    rest = sizes.join(chains.select("comp"), "comp", "left_anti")
+    whole = spread_join(members, rest, ["comp"], "n", total).drop("n", "chars").withColumn("slot", F.lit(-1))
+    return whole.unionByName(split.select(*whole.columns))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = WORDS) -> DataFrame:
@@ -250,50 +292,62 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id counts as the smallest long. An empty table gives an empty result;
     further columns are not looked at.
     """
-    return _groups(docs, id_col, text_col, threshold, tolerance, n).drop("mark")
+    return _groups(docs, id_col, text_col, threshold, tolerance, n).select("doc_id", "class_id", "n_links", "set_id")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = WORDS) -> DataFrame:
-    """``near_groups`` with mark, a hash of the row's text that tells texts of one id apart."""
+    """``near_groups`` with mark, a hash of the row's text that tells texts of one id apart, class_mark, that of the group's first text, and has_words."""
     own = clean_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")), "doc_id")
     signed = stored(signatures(own, n), "signatures")
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    candidates = components(banded.join(buckets, "band").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    members = candidates.withColumnRenamed("id", "node").join(classes.select("node", "set_id", "copies"), "node").withColumnRenamed("root", "comp")
-    texts = stored(own.join(members, own["doc_id"] == members["set_id"]).select("node", "comp", "copies", "text", F.length("text").alias("chars")), "members")
-    sizes = texts.groupBy("comp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    total = texts.agg(F.sum("chars")).first()[0] or 0
-    deal = max(256, -(-2 * total // BLOCK_CHARS))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    placed = texts.join(sizes.select("comp", blocks.alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    classes = signed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("copies"), F.min("chars").alias("chars"), F.min("bands").alias("bands"))
+    classes = classes.select("h1", "h2", F.col("least.doc_id").alias("set_id"), F.col("least.mark").alias("set_mark"), "copies", "chars", "bands", F.monotonically_increasing_id().alias("node"))
+    classes = stored(classes, "classes")  # its numbers hold from here on
+    total, n_rows = classes.count(), signed.count()
+    groups = stored(_candidates(classes, total), "candidates")
+    chars = classes.agg(F.sum("chars")).first()[0] or 0
+    deal = max(256, -(-2 * chars // BLOCK_CHARS))
+    placed = groups.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
-    # components of one block share tasks
-    share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(deal))).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(2**40)))
-    rows = paired.select(share.alias("share"), "lo", "hi", "comp", "side", "node", "copies", "text")
+    # groups of one block share tasks
+    share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(deal))).otherwise(-1 - F.pmod(F.xxhash64("comp", "slot"), F.lit(2**40)))
+    rows = paired.select(share.alias("share"), "lo", "hi", "comp", "slot", "side", "node", "copies", "set_id", "set_mark")
+    texts = own.groupBy("doc_id", "mark").agg(F.min("text").alias("text"))  # equal rows become one where they are read
+    rows = rows.join(texts, (F.col("set_id") == F.col("doc_id")) & (F.col("set_mark") == F.col("mark"))).drop("set_id", "set_mark", "doc_id", "mark")
 
     def run(part):
         return _compare_group(part, threshold, tolerance, n)
 
     found = stored(rows.groupBy("share", "lo", "hi").applyInArrow(run, "node long, n long, near long"), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("near").alias("b"))).withColumnRenamed("id", "node")
-    known = classes.select("node", "set_id", "copies").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = known.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    known = known.join(lowest, "root").join(counts, "node", "left")
-    known = known.select("node", "set_id", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "mark", "node").join(known, "node", "left")
-    return out.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("set_id", "doc_id").alias("set_id"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("near").alias("b"))).withColumnRenamed("id", "node")
+    known = classes.select("node", "h1", "h2", "set_id", "set_mark", "copies").join(roots, "node", "left").join(counts, "node", "left")
+    links = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
+    known = stored(known.select("h1", "h2", "set_id", "set_mark", "copies", links.alias("n_links"), F.coalesce("root", "node").alias("root")), "known")
+    first = known.groupBy("root").agg(F.min(F.struct("set_id", "set_mark")).alias("least"), F.count("*").alias("n"))
+    first = first.select("root", F.col("least.set_id").alias("class_id"), F.col("least.set_mark").alias("class_mark"), "n")
+    known = spread_join(known, first, ["root"], "n", total).drop("root", "n", "set_mark")
+    out = spread_join(signed.select("doc_id", "mark", "h1", "h2"), stored(known, "known"), ["h1", "h2"], "copies", n_rows, "left")
+    return out.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_mark", "mark").alias("class_mark"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("set_id", "doc_id").alias("set_id"), F.col("h1").isNotNull().alias("has_words"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with all columns.
+    """One row of ``docs`` of each group of near copies, with all columns: the one of the smallest id, null first.
 
-    Texts of one id are judged one by one; rows of one id in one group, rows
-    without id among them, count as one document and stay together.
+    Among rows of that id the hash of the text decides, among rows of the same
+    text a hash of all columns. Null texts and texts without words all stay.
     """
-    gone = _groups(docs, id_col, text_col, **options).filter("doc_id <> class_id").select("doc_id", "mark")
-    return without_rows(docs, gone, id_col, text_col)
+    judged = _groups(docs, id_col, text_col, **options).filter("has_words")
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
+    verdicts = judged.groupBy("doc_id", "mark").agg(F.max(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1")
+    key, mark, told, rows = (unused(docs, x) for x in ("row_key", "row_mark", "row_first", "row_count"))
+    verdicts = stored(verdicts.toDF(key, mark, told, rows), "verdicts")
+    total = verdicts.agg(F.sum(rows)).first()[0] or 0
+    held = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn(mark, F.xxhash64(text_col))
+    out = spread_join(held, verdicts, [key, mark], rows, total, "left").filter(F.col(told).isNull()).select(*docs.columns)
+    repeated = verdicts.filter(told)
+    if repeated.isEmpty():
+        return out
+    again = spread_join(held, repeated, [key, mark], rows, total).select(key, mark, F.struct(*docs.columns).alias(told))
+    chosen = again.groupBy(key, mark).agg(F.min_by(told, F.xxhash64(F.to_json(told))).alias(told))
+    return out.unionByName(chosen.select(f"{told}.*"))

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from edge import ROWS, Planted, documents, empty, table
+from millrace.llm import common
 from millrace.llm import ngramjoin as j
 
 WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
@@ -55,9 +56,10 @@ def _rows():
     return [(k * 3, t, None) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(j, "BLOCK_TEXTS", block)  # 3: components in many pairs of blocks
+@pytest.mark.parametrize("block, hot", [(1024, 256), (3, 256), (3, 2)])
+def test_against_brute_force(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(j, "BLOCK_TEXTS", block)  # 3: components in many pairs of blocks, or by buckets
+    monkeypatch.setattr(common, "HOT_ROWS", hot)  # 2: most keys are broadcast
     rows = _rows()
     assert table(j.near_groups(documents(spark, rows)), "doc_id", "class_id", "n_links", "set_id") == by_hand(rows)
     kept = table(j.keep_one(documents(spark, rows)), "doc_id")
@@ -80,6 +82,35 @@ def test_edges(spark):
     assert j.keep_one(documents(spark)).columns == documents(spark).columns
 
 
+def test_a_chain_goes_by_buckets(spark, monkeypatch):
+    """Each text near the next few only: fewer texts are sent than by pairs of blocks, and no link is lost or counted twice."""
+    p = Planted(14)
+    chain = p.words(900)
+    rows = [(k, " ".join(chain[4 * k : 4 * k + 100]), None) for k in range(200)]
+    monkeypatch.setattr(j, "BLOCK_TEXTS", 4)
+    slots = []
+    candidates = j._candidates
+    monkeypatch.setattr(j, "_candidates", lambda *x: slots.append(candidates(*x)) or slots[-1])
+    got = table(j.near_groups(documents(spark, rows)), "doc_id", "class_id", "n_links", "set_id")
+    assert got == by_hand(rows) and slots[0].filter("slot >= 0").count() > 200
+
+
+def test_rows_without_id_stay_in_proportion(spark):
+    """Thousands of rows that share an id, or have none, give a row each, and one of a group stays."""
+    p = Planted(15)
+    base = p.words(80)
+    near = [" ".join([*base[:40], f"only{k}", *base[40:]]) for k in range(40)]
+    rows = [(None, near[k % 40], None) for k in range(2_000)] + [(5, near[k % 3], "x") for k in range(300)] + [(9, p.text(50), None)]
+    docs = documents(spark, rows)
+    got = j.near_groups(docs)
+    assert got.count() == len(rows) and got.filter("doc_id <> 9").select("class_id").distinct().count() == 1
+    assert {r["n_links"] for r in got.filter("doc_id <> 9").collect()} == {2_299}
+    kept = j.keep_one(docs).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 9]
+    some = [(5, "a b c d e f", "x"), (5, "a b c d e f", "y"), (5, "a b c d e f", None), (5, None, "z"), (5, None, "z"), (None, "", "q")]
+    assert sorted(r["text"] or "-" for r in j.keep_one(documents(spark, some)).collect()) == ["-", "-", "-", "a b c d e f"]
+
+
 def test_pruning_bound():
     # the posterior that a pair reaches the threshold, against integration of the beta density
     for n, m in ((24, 10), (48, 30), (96, 70)):
