@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, map_slices, mix, plain_words
+from .common import filter_texts, map_slices, mix, plain_words, stored
 
 #: Edits, as a share of the item's words, up to which a passage counts as the item.
 EDITS = 0.15
-#: Items of fewer words can't be told from ordinary text and are not searched for.
+#: Items of fewer words can't be told from ordinary text: only a document with just their words holds them.
 MIN_WORDS = 5
 RECALL = 0.98
 SAMPLES, MOST_ROUNDS = 3, 24
@@ -112,7 +112,12 @@ class Searcher:
         hashes, first = plain_words(pa.array(texts, pa.string()))
         own = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         chosen = [k for k, x in enumerate(own) if len(x) >= MIN_WORDS]
-        self.item_ids = [item_ids[k] for k in chosen]
+        brief = [k for k, x in enumerate(own) if 0 < len(x) < MIN_WORDS]
+        self.item_ids = [item_ids[k] for k in (*chosen, *brief)]
+        #: The short items, by their words.
+        self.brief: dict[bytes, list[int]] = {}
+        for number, k in enumerate(brief, len(chosen)):
+            self.brief.setdefault(own[k].tobytes(), []).append(number)
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(own[k] for k in chosen)]))
         self.items = [np.searchsorted(self.vocabulary, own[k]) + 1 for k in chosen]
         self.edits = [int(edits * len(x)) for x in self.items]
@@ -266,6 +271,9 @@ class Searcher:
         """For each text: item number -> (edit distance, word at which it is found)."""
         hashes, first = plain_words(texts)
         found: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(first) - 1)]
+        if self.brief:
+            for doc in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < MIN_WORDS)).tolist():
+                found[doc] = {k: (0, 0) for k in self.brief.get(hashes[first[doc] : first[doc + 1]].tobytes(), ())}
         if not len(hashes) or not self.items:
             return found
         ids = self._ids(hashes)
@@ -289,10 +297,11 @@ class Searcher:
                 sorted_keys, order = f.tables[k]
                 low, high = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
                 hit = np.flatnonzero(high > low)
-                for h in hit:
-                    inside = int(origin[at[h]])
-                    for e in order[low[h] : high[h]]:
-                        pairs.append((f.item[e], inside - f.offset[e], inside))
+                n = high[hit] - low[hit]
+                inside = np.repeat(origin[at[hit]], n)
+                entry = order[np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                start = inside - np.array(f.offset, np.int64)[entry]
+                pairs += zip(np.array(f.item, np.int64)[entry].tolist(), start.tolist(), inside.tolist(), strict=True)
         last = (-1, -1, 0)
         for item, start, inside in sorted(set(pairs)):
             doc = int(np.searchsorted(first, inside, side="right")) - 1
@@ -310,50 +319,63 @@ class Searcher:
         return found
 
 
-SCHEMA = "doc_id long, contaminated boolean, n_items int, items array<long>, edits array<int>, places array<int>"
+FOUND = "row long, items array<long>, edits array<int>, places array<int>"
 
 
 def _pass(docs: DataFrame, searcher: Searcher) -> DataFrame:
+    """(row, items, edits, places) of every row of (row, text)."""
+
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [sorted((searcher.item_ids[k], *v) for k, v in x.items()) for x in searcher.search(batch.column(1))]
         column = lambda k, kind: pa.array([[r[k] for r in x] for x in rows], pa.list_(kind))
-        return pa.record_batch([batch.column(0), pa.array([bool(x) for x in rows]), pa.array([len(x) for x in rows], pa.int32()), column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32())], names=["doc_id", "contaminated", "n_items", "items", "edits", "places"])
+        return pa.record_batch([batch.column(0), column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32())], names=["row", "items", "edits", "places"])
 
-    return map_slices(docs, "text", one, SCHEMA)
+    return map_slices(docs, "text", one, FOUND)
 
 
-def searchers(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Searcher]:
-    """Searchers that hold all items between them, each of bounded size; one at least."""
+def searchers(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[tuple[Searcher, bool]]:
+    """Searchers that hold all items between them, each of bounded size, and whether each is the only one; one at least."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-chars // (5 * PASS_WORDS)))
     for k in range(passes):
         some = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         rows = some.orderBy("item_id", "text").collect()  # bounded: a pass takes about PASS_WORDS words
-        yield Searcher([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield Searcher([r["item_id"] for r in rows], [r["text"] for r in rows]), passes == 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row: doc_id, contaminated, and the items found with their edits and places.
 
     A document holds an item if some run of its words is within ``EDITS`` times
-    the item's words of the item by edit distance. Words are lower-cased runs of
-    letters and digits. Null and empty texts hold nothing; items of fewer than
-    five words, null ones included, are not searched for; equal items are all
-    named. Equal rows give equal rows, empty tables empty or clean results;
-    further columns are not looked at.
+    the item's words of the item by edit distance; an item of fewer than five
+    words, if it has just these words. Words are lower-cased runs of letters and
+    digits. Null and empty texts hold nothing, null items and those without words
+    are in none; equal items are all named. Each row is judged by its own text,
+    however many passes the items take: equal rows give equal rows, rows that
+    share an id, or have none, stay apart. Empty tables give empty or clean
+    results; further columns are not looked at.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [_pass(own, searcher) for searcher in searchers(benchmark, item_col, item_text_col)]
-    out = reduce(DataFrame.unionByName, found)
-    if len(found) == 1:
-        return out
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return out.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").cast("int").alias("n_items"), flat("items"), flat("edits"), flat("places"))
+    numbered, parts = None, []
+    for searcher, alone in searchers(benchmark, item_col, item_text_col):
+        if alone:
+            found = _pass(own.select(F.col("doc_id").alias("row"), "text"), searcher)
+            return found.select(F.col("row").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), "items", "edits", "places")
+        if numbered is None:  # rows get numbers of their own, which hold once they are written
+            numbered = stored(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        # stored, so that the driver holds one searcher at a time
+        parts.append(stored(_pass(numbered.select("row", "text"), searcher).filter(F.size("items") > 0), "found"))
+    each = F.explode(F.arrays_zip("items", "edits", "places")).alias("x")
+    listed = reduce(DataFrame.unionByName, parts).select("row", each).groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    none = F.array().cast("array<struct<items:long,edits:int,places:int>>")
+    out = numbered.select("row", "doc_id").join(listed, "row", "left").select("doc_id", F.coalesce("xs", none).alias("xs"))
+    return out.select("doc_id", (F.size("xs") > 0).alias("contaminated"), F.size("xs").alias("n_items"), *(F.col(f"xs.{c}").alias(c) for c in ("items", "edits", "places")))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all columns; each row is judged by its own text."""
-    for searcher in searchers(benchmark, item_col, item_text_col):
+    for searcher, alone in searchers(benchmark, item_col, item_text_col):
         docs = filter_texts(docs, text_col, lambda texts, searcher=searcher: [not x for x in searcher.search(texts)])
+        docs = docs if alone else stored(docs, "clean")
     return docs

@@ -138,12 +138,24 @@ def test_walks_keep_near_sequences_near():
 
 
 def test_passes_agree(spark, monkeypatch):
+    """One pass and several give the same rows, also where ids repeat or are missing."""
     p, items = _plan(20)
     rows = [(k, p.text(30) + " " + items[k % 20][1] + " " + items[(k + 7) % 20][1], None) for k in range(40)]
-    columns = ("doc_id", "contaminated", "n_items")
+    rows += [(1, p.text(20), None), (1, rows[3][1], None), (None, p.text(9), None), (None, rows[5][1], "a"), (None, rows[5][1], "b"), (None, None, None)]
+    columns = ("doc_id", "contaminated", "n_items", "items", "edits")
     one = table(c.contamination(documents(spark, rows), benchmark(spark, items)), *columns)
+    clean = table(c.decontaminated(documents(spark, rows), benchmark(spark, items)), "doc_id", "text")
+    assert len(one) == len(rows) and len(clean) == 3
     monkeypatch.setattr(c, "PASS_WORDS", 60)
     assert table(c.contamination(documents(spark, rows), benchmark(spark, items)), *columns) == one
+    assert table(c.decontaminated(documents(spark, rows), benchmark(spark, items)), "doc_id", "text") == clean
+
+
+def test_short_items_are_whole_texts():
+    s = c.Searcher([7, 8, 9, 5], ["Yes, please.", "yes please", None or "", "one two three four"])
+    texts = ["yes PLEASE!", "yes please do", "one two three four", "one two three four five", "", None]
+    got = [sorted(s.item_ids[k] for k in x) for x in s.search(pa.array(texts))]
+    assert got == [[7, 8], [], [5], [], [], []]
 
 
 @pytest.mark.parametrize("items", [[], [(1, None), (2, ""), (3, "only four words here")], [(1, "the quick brown fox jumps over the lazy dog"), (2, "the quick brown fox jumps over the lazy dog"), (None, "x y z v w")]])
