@@ -1,7 +1,9 @@
+import hashlib
 from collections import defaultdict
 
 import numpy as np
 from edge import ROWS, Planted, documents, empty, table
+from millrace.llm import common
 from millrace.llm import linededup as d
 
 LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -37,7 +39,20 @@ def test_against_brute_force(spark, monkeypatch):
     rows = _rows()
     assert table(d.dedup_lines(documents(spark, rows)), "doc_id", "text", "n_lines", "n_dropped") == by_hand(rows)
     digest = {r["doc_id"]: r["kept_sha256"] for r in d.digest(d.dedup_lines(documents(spark, rows))).collect()}
-    assert digest == {i: d.sha256_hex(t) for i, t, _, _ in by_hand(rows)}
+    assert digest == {i: hashlib.sha256(t.encode()).hexdigest() for i, t, _, _ in by_hand(rows)}
+
+
+def test_rows_that_share_an_id_lose_their_own_lines(spark, monkeypatch):
+    """Repeated and missing ids count as one document each, and keep a row for each of theirs."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    line, other = "this line is found in many documents", "another line that several documents hold"
+    rows = [(1, f"{line}\nx", None), (2, line, None), (2, f"{line}\n{other}", None), (2, line, None), (3, f"a\n{line}", None), (5, other, None), (6, other, None)]
+    assert table(d.dedup_lines(documents(spark, rows)), "doc_id", "text", "n_lines", "n_dropped") == by_hand(rows)
+    none = [(None, f"{line}\nrow {k % 7}", None) for k in range(50)] + [(1, line, None), (2, line, None)]
+    want = [(-(2**63), f"row {k % 7}", 2, 1) for k in range(50)] + [(1, "", 1, 1), (2, line, 1, 0)]
+    assert table(d.dedup_lines(documents(spark, none)), "doc_id", "text", "n_lines", "n_dropped") == sorted(want, key=str)
+    two = [(None, line, None)] * 9 + [(4, line, None)]  # two documents are too few
+    assert d.dedup_lines(documents(spark, two)).filter("n_dropped > 0").count() == 0
 
 
 def test_edges(spark):
@@ -48,9 +63,13 @@ def test_edges(spark):
 
 def test_minimal_perfect_hash():
     for n in (0, 1, 2, 1_000, 20_000):
-        keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
-        levels, place = d.build_levels(keys)
-        assert sorted(place.tolist()) == list(range(len(keys)))
-        assert np.array_equal(d.look_up(levels, keys), place)
+        r = np.random.default_rng(n)
+        h1, h2 = np.unique(r.integers(0, 2**63, n, dtype=np.uint64)), r.integers(0, 2**63, n, dtype=np.uint64)[: n]
+        h2 = h2[: len(h1)]
+        if n > 2:
+            h1[1] = h1[0]  # told apart by the other half
+        levels, place = d.build_levels(h1, h2)
+        assert sorted(place.tolist()) == list(range(len(h1)))
+        assert np.array_equal(d.look_up(levels, h1, h2), place)
         bits = b"".join(np.packbits(x).tobytes() for x in levels)
         assert all(np.array_equal(a, b) for a, b in zip(levels, d._unpack_levels([len(x) for x in levels], bits), strict=True))
