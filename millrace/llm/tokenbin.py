@@ -10,7 +10,8 @@ plane's place, so that a block is read without the others.
 
 The index lists block by block: ids in it, planes, and each plane's place and
 size; then the documents' ids and lengths. Files travel as the binary column of
-a table that Spark writes and reads, so that any store Spark knows holds them.
+a table that Spark writes and reads, so that any store Spark knows holds them;
+``export`` writes them as files of their own.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import os
 import re
 import struct
 import sys
+import tempfile
 import zlib
 from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,8 +42,8 @@ FILE_IDS = 2_000_000
 END_ID = 2
 LEVEL = 3
 FILES = "part int, seq int, n_ids long, n_docs long, content binary"
-#: Distinct words kept with their ids in a Python worker.
-CACHE_WORDS = 800_000
+#: Bytes of pieces and ids that a Python worker keeps; and characters of a piece that is kept.
+CACHE_BYTES, CACHE_PIECE = 64 << 20, 64
 
 
 # ---- planes -----------------------------------------------------------------
@@ -118,24 +121,31 @@ class _Pieces(dict):
 
     def __init__(self, encode, before: str):
         super().__init__()
-        self._encode, self._before, self._signs = encode, before, {}  # encode: ids of a text
+        self._encode, self._before, self._signs, self._held = encode, before, {}, 0  # encode: ids of a text
 
     def __missing__(self, piece: str) -> bytes:
         core = piece.rstrip(self.SIGNS)
         if core and len(core) < len(piece) and core[-1].isalpha():
             signs = piece[len(core) :]
-            if signs not in self._signs:
-                self._signs[signs] = self._encode(signs)
-            found = self[core] + self._signs[signs]
+            ends = self._signs.get(signs)
+            if ends is None:
+                ends = self._encode(signs)
+                if len(signs) <= CACHE_PIECE:
+                    self._signs[signs] = ends
+                    self._held += 200
+            found = self[core] + ends
         else:
             found = self._encode(self._before + piece)
-        self[piece] = found
+        if len(piece) <= CACHE_PIECE:  # a text without blanks is one piece
+            self[piece] = found
+            self._held += 150 + len(piece) + len(found)  # with what Python adds to both
         return found
 
     def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
+        if self._held > CACHE_BYTES:
             self.clear()
             self._signs.clear()
+            self._held = 0
 
 
 class _Letters(dict):
@@ -206,12 +216,12 @@ def encoder(path: str) -> Encoder:
 
 # ---- the job ----------------------------------------------------------------
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block: int = BLOCK_IDS, kind: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
-    """Token files of all documents, in ascending id order over (part, seq).
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block: int = BLOCK_IDS, kind: str = "byte", file_ids: int = FILE_IDS, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """Token files of all documents, in the order of the columns ``order`` over (part, seq); by default in ascending id order.
 
     Null texts are empty and hold the end id alone; null ids come first; rows of
-    one id follow each other by their text. An empty table gives no file;
-    further columns are not looked at.
+    one id follow each other by their text, and the text's beginning deals them to
+    tasks. An empty table gives no file; further columns are not looked at.
     """
 
     def run(batches):
@@ -239,11 +249,38 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         if ids:
             yield flush()
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    keys = [c if isinstance(c, Column) else F.col(c) for c in order or ()]
+    if keys:
+        ranged = docs.select(*own, *(k.alias(f"order_{i}") for i, k in enumerate(keys)))
+        names = [f"order_{i}" for i in range(len(keys))]
+        ranged = ranged.repartitionByRange(*names).sortWithinPartitions(*names, "doc_id", "text").select("doc_id", "text")
+    else:
+        ranged = docs.select(*own).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return stored(ranged.mapInArrow(run, FILES), "tokens", compression="uncompressed")
 
 
+def export(files: DataFrame, folder: str) -> DataFrame:
+    """The files written one by one below ``folder``, which tasks reach as a path: (part, seq, path, size).
+
+    For mounted stores; a file is moved into place whole, so that a repeated task does no harm.
+    """
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            rows = []
+            for part, seq, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = os.path.join(folder, f"{part:05d}-{seq:05d}.mrt")
+                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+                    f.write(content)
+                os.replace(f.name, path)
+                rows.append((part, seq, path, len(content)))
+            yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "path", "size"), r, strict=True)) for r in rows], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("size", pa.int64())]))
+
+    return files.select("part", "seq", "content").mapInArrow(run, "part int, seq int, path string, size long")
+
+
 def read_documents(files: DataFrame) -> DataFrame:
     """(part, seq, doc_id, at, n_tokens, ids_crc32) of every document, decoded from the files."""
 

@@ -61,6 +61,27 @@ def test_query_rows(spark, tokenizer, size):
     assert size > 100 or files.count() > 8
 
 
+def test_the_cache_is_bounded_in_bytes(tokenizer, monkeypatch):
+    """Texts without blanks don't fill it, whatever their length, and ids stay right when it is emptied."""
+    monkeypatch.setattr(b, "CACHE_BYTES", 2_000)
+    encode = b.Encoder(tokenizer_path())
+    texts = ["語" * 3_000, "QUJD" * 5_000, "a" + "!" * 3_000, *(f"w{k} x{k}" for k in range(50))]
+    for text in texts:
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(len(p) <= b.CACHE_PIECE for cache in (encode._heads, encode._rest) for p in cache) and encode._rest._held < 4_000
+
+
+def test_order_and_export(spark, tokenizer, tmp_path):
+    """Files in another order than that of ids, written as files of their own and read back."""
+    rows = [(k, f"text {k}", str(9 - k)) for k in range(10)] + [(None, None, None)]
+    files = b.write_tokens(documents(spark, rows), tokenizer_path(), file_ids=7, order=["source"])
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or ""))]
+    assert [r["doc_id"] for r in b.digest(files).orderBy("start").collect()] == want
+    written = b.export(files, str(tmp_path / "out")).collect()
+    found = [b.File(open(r["path"], "rb").read()) for r in sorted(written, key=lambda r: r["path"])]
+    assert len(found) == files.count() > 2 and sum(len(f.ids()) for f in found) == sum(len(tokenizer.encode(r[1] or "").ids) + 1 for r in rows)
+
+
 def test_edges(spark):
     assert b.digest(b.write_tokens(empty(spark), tokenizer_path())).collect() == []
     assert os.path.isfile(tokenizer_path())
