@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import filter_texts, map_slices
 
-#: Labelled documents that a model is fitted on, at most.
-TRAIN_DOCS = 4_000
+#: Labelled documents that a model is fitted on, at most, and the characters of each: longer ones aren't learned from.
+TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 #: Documents of the sample that must hold a feature.
@@ -134,14 +134,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` labelled documents outside the held-out quarter.
+    """Texts and labels of at most ``most`` labelled documents outside the held-out quarter, of at most ``TRAIN_CHARS`` characters each.
 
     Rows with a null label or id are left out.
     """
     marked = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("label_id").isNotNull())
     chosen = marked.filter(~held_out(F.col("label_id"))).orderBy(F.xxhash64("label_id", F.lit("train")), "label_id", "label").limit(most)
-    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
-    rows = own.join(chosen, "label_id").orderBy("label_id", "label", "text").limit(most).collect()  # bounded by ``most``
+    own = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    rows = own.join(chosen, "label_id").orderBy("label_id", "label", "text").limit(most).collect()  # bounded: ``most`` times TRAIN_CHARS
     return [r["text"] or "" for r in rows], [r["label"] for r in rows]
 
 
