@@ -85,13 +85,18 @@ def value_bytes(column: Column, kind: str) -> Column:
     return F.when(column.isNull(), F.lit(0)).otherwise(size).cast("long")
 
 
-def content_token(operator: Column, token: Column, payloads: Column) -> Column:
-    """A SHA-256 name of a batch: operator, token and payloads, each framed by its length.
+def _hexed(value: Column) -> Column:
+    return F.lower(F.hex(value.cast("binary")))
 
-    Framing keeps ("ab", "c") and ("a", "bc") apart.
-    """
-    frame = lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), F.base64(x.cast("binary")))
-    return F.sha2(F.concat_ws(",", frame(operator), frame(token), F.array_join(F.transform(payloads, frame), ",")), 256)
+
+def record_digest(time: Column, keys: list[Column], payload: Column) -> Column:
+    """A SHA-256 of a record's time, keys and payload; hexadecimal text between colons keeps them apart."""
+    return F.sha2(F.concat_ws(":", time.cast("string"), *map(_hexed, [*keys, payload])), 256)
+
+
+def content_token(operator: Column, token: Column, digests: Column) -> Column:
+    """A SHA-256 name of a batch: operator, token and its records' digests in order."""
+    return F.sha2(F.concat_ws(":", operator.cast("string"), _hexed(token), F.array_join(digests, "")), 256)
 
 
 def json_path(pointer: str) -> str:

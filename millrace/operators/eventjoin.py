@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.events import EventError, EventQuery, EventTable, matched, projected
@@ -29,10 +29,6 @@ class JoinBudget:
     rows: int = 1_000_000
 
 
-#: Rows of the right side up to which it is sent to all tasks.
-BROADCAST_ROWS = 100_000
-
-
 def side(table: EventTable, rows: DataFrame, want: Side) -> DataFrame:
     found = matched(table, rows, want.query)
     for name, value in want.equals.items():
@@ -46,17 +42,13 @@ def side(table: EventTable, rows: DataFrame, want: Side) -> DataFrame:
     return found
 
 
-def _key(table: EventTable, rows: DataFrame, want: Side, name: str) -> Column:
-    return rows[want.on].alias(name)
-
-
 def join(table: EventTable, rows: DataFrame, left: Side, right: Side, mode: str = "left", budget: JoinBudget | None = None) -> DataFrame:
     """(left, right, present): structs of the sides' columns, and whether the right side matched.
 
     Keys must be of one declared kind. Null keys never match and duplicates
     multiply. In ``left`` mode unmatched left rows stay with ``present`` false, so
-    a match with null columns differs from no match. A right side within
-    ``BROADCAST_ROWS`` is broadcast; a larger one is shuffled.
+    a match with null columns differs from no match. Whether the right side is
+    broadcast or shuffled is left to adaptive execution, which knows its bytes.
     """
     if mode not in ("inner", "left"):
         raise EventError(f"no join {mode!r}")
@@ -64,12 +56,10 @@ def join(table: EventTable, rows: DataFrame, left: Side, right: Side, mode: str
         raise EventError(f"{left.on} and {right.on} are of different kinds")
     a, b = side(table, rows, left), side(table, rows, right)
     names = lambda df, want: F.struct(*(df[c].alias(c) for c in projected(table, df, want.columns).columns))
-    a = a.select(names(a, left).alias("left"), _key(table, a, left, "left_on"))
-    b = b.select(names(b, right).alias("right"), _key(table, b, right, "right_on"), F.lit(True).alias("matched")).filter(F.col("right_on").isNotNull())
-    build = b.limit(max(BROADCAST_ROWS, budget.build_rows if budget else 0) + 1).count()
-    if budget and build > budget.build_rows:
+    a = a.select(names(a, left).alias("left"), a[left.on].alias("left_on"))
+    b = b.select(names(b, right).alias("right"), b[right.on].alias("right_on"), F.lit(True).alias("matched")).filter(F.col("right_on").isNotNull())
+    if budget and b.limit(budget.build_rows + 1).count() > budget.build_rows:
         raise EventError(f"the right side has more than {budget.build_rows} rows")
-    b = F.broadcast(b) if build <= BROADCAST_ROWS else b
     out = a.join(b, F.col("left_on") == F.col("right_on"), mode)
     out = out.select("left", "right", F.coalesce("matched", F.lit(False)).alias("present"))
     if budget and out.limit(budget.rows + 1).count() > budget.rows:

@@ -202,6 +202,17 @@ def outbox(old: Schema, new: Schema, before: dict[str, DataFrame], after: dict[s
     return reduce(DataFrame.unionByName, parts)
 
 
+def catalog(tables: dict[str, DataFrame], edges: dict[str, DataFrame]) -> DataFrame:
+    """(kind, name, detail): every table with its part (rows or edges), and every column with its type, as they are."""
+    rows = []
+    for part, some in (("rows", tables), ("edges", edges)):
+        for name, df in some.items():
+            rows.append(("table", name, part))
+            rows += [("column", f"{name}.{c.name}", c.dataType.simpleString()) for c in df.schema]
+    session = next(iter([*tables.values(), *edges.values()])).sparkSession
+    return session.createDataFrame(rows, "kind string, name string, detail string")
+
+
 def drifted(schema: Schema, tables: dict[str, DataFrame]) -> list[str]:
     """Entities whose tables do not have the schema's columns and types."""
     shape = lambda s: [(c.name, c.dataType.simpleString()) for c in s]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import live, unexpired
@@ -53,7 +53,7 @@ def closure_changes(before: DataFrame, edges: DataFrame, next_id: int) -> tuple[
     return kept.select("id", "left", "right").unionByName(numbered(fresh, ["left", "right"], next_id)), ended
 
 
-def numbered(rows: DataFrame, order: list[str], first: int, name: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], first: int, name: str = "id") -> DataFrame:
     """``rows`` with numbers from ``first`` on, in a column ``name``, in the given order, without gathering them in one task.
 
     Rows are range-partitioned; each partition counts from where the ones before

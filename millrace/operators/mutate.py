@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import violates
+from ..functions.joins import null_safe_join
 from ..sources.schema import Entity, edge_struct
 from .graph import closes_cycle, closure, numbered, taken
 from .world import World
@@ -63,6 +64,20 @@ def _require(problems: DataFrame) -> None:
         raise Refused("; ".join(f"row {r['id']}: {r['rule']}" for r in found))
 
 
+def _once(changes: DataFrame) -> DataFrame:
+    """(id, rule): ids that ``changes`` name more than once."""
+    return changes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("given twice").alias("rule"))
+
+
+def _known(changes: DataFrame, ids: DataFrame, rule: str) -> DataFrame:
+    return changes.join(ids.select("id"), "id", "left_anti").select("id", F.lit(rule).alias("rule"))
+
+
+def _unfrozen(own: Entity) -> None:
+    if own.frozen:
+        raise Refused(f"{own.name} is frozen")
+
+
 def with_serials(entity: Entity, fresh: DataFrame, rows: DataFrame) -> DataFrame:
     """``fresh`` with serial fields counted on, within their scopes, in the order of ids.
 
@@ -74,12 +89,15 @@ def with_serials(entity: Entity, fresh: DataFrame, rows: DataFrame) -> DataFrame
         scopes = list(f.serial)
         last = rows.groupBy(*scopes).agg(F.max(f.name).alias("last")) if scopes else rows.agg(F.max(f.name).alias("last"))
         ranked = numbered(fresh, [*scopes, "id"], 0, "nth")  # a scope may hold most rows: no window gathers it
-        if scopes:
-            starts = ranked.groupBy(*scopes).agg(F.min("nth").alias("start")).join(last, scopes, "left")
-            ranked = ranked.join(starts, scopes)
+        if scopes:  # rows with an absent scope count among themselves
+            starts = ranked.groupBy(*scopes).agg(F.min("nth").alias("start"), F.count("*").alias("size"))
+            known = last.select(*(F.col(c).alias(f"last_{c}") for c in scopes), "last")
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"last_{c}")) for c in scopes])
+            facts = starts.join(known, same, "left").select(*scopes, "start", "size", "last")
+            ranked = null_safe_join(ranked, facts, scopes, "size", ranked.count())
         else:
             ranked = ranked.withColumn("start", F.lit(0)).join(F.broadcast(last))  # one row
-        fresh = ranked.withColumn(f.name, F.coalesce("last", F.lit(0)) + F.col("nth") - F.col("start") + 1).drop("nth", "start", "last")
+        fresh = ranked.withColumn(f.name, F.coalesce("last", F.lit(0)) + F.col("nth") - F.col("start") + 1).select(*dict.fromkeys([*fresh.columns, f.name]))
     return fresh
 
 
@@ -109,8 +127,7 @@ def update(world: World, entity: str, changes: DataFrame, unset: tuple[str, ...]
     Only live rows change; ids without one are refused, and frozen entities too.
     """
     own = world.schema.entity(entity)
-    if own.frozen:
-        raise Refused(f"{own.name} is frozen")
+    _unfrozen(own)
     optional = {f.name for f in own.fields if f.optional} | {r.column for r in own.references if r.optional}
     if set(unset) - optional:
         raise Refused(f"{sorted(set(unset) - optional)} can't be unset")
@@ -118,8 +135,7 @@ def update(world: World, entity: str, changes: DataFrame, unset: tuple[str, ...]
     names = [c for c in changes.columns if c != "id"]
     for name in names:
         own.kind(name)
-    absent = changes.join(world.rows(own.name).select("id"), "id", "left_anti")
-    _require(absent.select("id", F.lit("no live row").alias("rule")))
+    _require(_known(changes, world.rows(own.name), "no live row").union(_once(changes)))
     new = changes.select("id", *(F.col(n).alias(f"new_{n}") for n in names), F.lit(True).alias("changes"))
     joined = rows.join(new, "id", "left")
     for name in rows.columns:
@@ -134,9 +150,13 @@ def update(world: World, entity: str, changes: DataFrame, unset: tuple[str, ...]
 
 
 def lease(world: World, entity: str, ends: DataFrame) -> Batch:
-    """Rows ending at the given times (id, expires_at); a leased row keeps living but holds no unique key."""
+    """Rows ending at the given times (id, expires_at); a leased row keeps living but holds no unique key.
+
+    Only live rows can be leased; frozen entities too, as their rows may end.
+    """
     own = world.schema.entity(entity)
     rows = world.history(own.name)
+    _require(_known(ends, world.rows(own.name), "no live row").union(_once(ends)))
     joined = rows.join(ends.select("id", F.col("expires_at").alias("new_end")), "id", "left")
     table = joined.withColumn("expires_at", F.coalesce("new_end", "expires_at")).select(*rows.columns)
     return Batch({own.name: table}, log=[_log(ends, "end", own.name)])
@@ -151,8 +171,7 @@ def connect(world: World, entity: str, relation: str, pairs: DataFrame, next_id:
     live_edges = world.relation(own.name, link.name)
     problems = []
     note = lambda bad, rule: problems.append(bad.select(F.col("left").alias("id"), F.lit(rule).alias("rule")))
-    if own.frozen:
-        raise Refused(f"{own.name} is frozen")
+    _unfrozen(own)
     note(pairs.join(world.rows(own.name).select(F.col("id").alias("left")), "left", "left_anti"), "no live left row")
     note(pairs.join(world.rows(link.target).select(F.col("id").alias("right")), "right", "left_anti"), "no live right row")
     note(pairs.join(live_edges, ["left", "right"], "left_semi"), "a live edge exists")
@@ -171,11 +190,18 @@ def connect(world: World, entity: str, relation: str, pairs: DataFrame, next_id:
 
 
 def tune(world: World, entity: str, relation: str, changes: DataFrame) -> Batch:
-    """Edges with fields of ``changes`` (id, ...) set."""
+    """Edges with fields of ``changes`` (id, ...) set: live edges with live ends, each once; no edge of a frozen entity."""
     own = world.schema.entity(entity)
-    name = f"{own.name}.{own.relation(relation).name}"
+    _unfrozen(own)
+    link = own.relation(relation)
+    name = f"{own.name}.{link.name}"
     edges = world.edges[name]
     names = [c for c in changes.columns if c != "id"]
+    if not names or set(names) - {f.name for f in link.fields}:
+        raise Refused(f"{name} has no fields {names}")
+    lefts = world.rows(own.name).select(F.col("id").alias("left"))
+    held = world.held_edges(own.name, link.name).join(lefts, "left", "left_semi")
+    _require(_known(changes, held, "no live edge").union(_once(changes)))
     new = changes.select("id", *(F.col(n).alias(f"new_{n}") for n in names), F.lit(True).alias("changes"))
     joined = edges.join(new, "id", "left")
     for n in names:
@@ -185,10 +211,13 @@ def tune(world: World, entity: str, relation: str, changes: DataFrame) -> Batch:
 
 
 def disconnect(world: World, entity: str, relation: str, ids: DataFrame) -> Batch:
-    """Edges of ``ids`` (id) ended now."""
+    """Edges of ``ids`` (id) ended now; unknown ids are refused, and edges of frozen entities."""
     own = world.schema.entity(entity)
+    _unfrozen(own)
     name = f"{own.name}.{own.relation(relation).name}"
     edges = world.edges[name]
+    _require(_known(ids, edges, "no edge").union(_once(ids)))
     joined = edges.join(ids.select("id", F.lit(True).alias("cut")), "id", "left")
-    table = joined.withColumn("expires_at", F.when(F.col("cut"), F.lit(world.now)).otherwise(F.col("expires_at"))).select(*edges.columns)
+    ended = lambda column: F.when(F.col("cut"), F.lit(world.now)).otherwise(F.col(column))
+    table = joined.withColumn("expires_at", ended("expires_at")).withColumn("updated_at", ended("updated_at")).select(*edges.columns)
     return Batch(edges={name: table}, log=[_log(ids, "cut", name)])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import contains_fold
 from ..functions.literals import LiteralError, parse
 from ..sources.schema import Entity, SchemaError
+from .graph import numbered
 from .world import World
 
 #: Fixed value: edges that a linked relation may give for a page.
@@ -215,6 +216,11 @@ def ordered(rows: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
     return rows.orderBy(*(k.desc() if d else k.asc() for k, d in keys))
 
 
+def ranked(rows: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
+    """All ``rows`` with their ``rank`` in the order, from 1 on, without gathering them in one task."""
+    return numbered(rows, [k.desc() if d else k.asc() for k, d in keys], 1, "rank")
+
+
 def past(rows: DataFrame, keys: list[tuple[Column, bool]], key: int) -> DataFrame:
     """The rows behind the row of id ``key`` in the order; none if that is not among them.
 

@@ -240,6 +240,64 @@ def revise(heads: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moved, lost
 
 
+def revision(key: Column, base: Column, document: Column) -> Column:
+    """The token of a document's revision on top of ``base``; the first stands on "0"."""
+    return F.sha2(F.concat_ws(":", key.cast("string"), base, F.to_json(document)), 256)
+
+
+def _checked(found: DataFrame, shape: Shape, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose document has the shape, and (key, problem) of the others."""
+    bad = violations(found, shape, key=key)
+    return found.join(bad.select(key), key, "left_anti"), bad
+
+
+def create(heads: DataFrame, payloads: DataFrame, fresh: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heads and payloads with the new documents of ``fresh`` (collection, id, document), and (id, problem) of those refused.
+
+    Ids must be new and given once, and documents of the collection's shape.
+    """
+    once = fresh.groupBy("id").agg(F.count("*").alias("n"))
+    twice = once.filter("n > 1").select("id", F.lit("id given twice").alias("problem"))
+    held = fresh.join(heads.select("id"), "id", "left_semi").select("id", F.lit("id exists").alias("problem")).distinct()
+    free = fresh.join(once.filter("n = 1"), "id", "left_semi").join(heads.select("id"), "id", "left_anti")
+    good, bad = _checked(free, shape, "id")
+    made = good.withColumn("token", revision(F.col("id"), F.lit("0"), F.col("document")))
+    refused = twice.union(held.join(twice.select("id"), "id", "left_anti")).union(bad)
+    return heads.unionByName(made.select(*heads.columns)), payloads.unionByName(made.select(*payloads.columns)), refused
+
+
+def edit(heads: DataFrame, payloads: DataFrame, edits: DataFrame, shape: Shape, sets: Mapping[str, object], removes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heads and payloads after one patch of the documents that ``edits`` (id, base) name, and (id, problem) of those refused.
+
+    A base that is not the head's token is refused, and so is a result of another
+    shape; edits of one id and base are one edit.
+    """
+    asked = edits.select("id", "base").distinct()
+    on_head = asked.join(heads.select("id", F.col("token").alias("base")), ["id", "base"], "left_semi")
+    stale = asked.join(on_head, ["id", "base"], "left_anti").select("id", F.lit("base is not the head").alias("problem"))
+    now = current(on_head.select("id", F.col("base").alias("token")), payloads).select("id", F.col("token").alias("base"), "document")
+    good, bad = _checked(patched(now, sets, removes), shape, "id")
+    made = good.select("id", revision(F.col("id"), F.col("base"), F.col("document")).alias("token"), "document")
+    moved = heads.join(made.select("id", F.col("token").alias("new_token")), "id", "left").withColumn("token", F.coalesce("new_token", "token"))
+    return moved.select(*heads.columns), payloads.unionByName(made.select(*payloads.columns)), stale.union(bad)
+
+
+def end(heads: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The heads without those that ``ends`` (id, token) name at their present token, and the ends refused."""
+    known = ends.select("id", "token").distinct()
+    return heads.join(known, ["id", "token"], "left_anti").select(*heads.columns), known.join(heads.select("id", "token"), ["id", "token"], "left_anti")
+
+
+def evolve(documents: DataFrame, old: Shape, new: Shape) -> DataFrame:
+    """The documents under a wider shape; refused if it isn't one, or if a document doesn't have it."""
+    if not widens(old, new):
+        raise DocumentError("the new shape does not take all that the old one takes")
+    bad = violations(documents, new).limit(5).collect()
+    if bad:
+        raise DocumentError("; ".join(f"document {r['id']}: {r['problem']}" for r in bad))
+    return documents
+
+
 def patched(documents: DataFrame, sets: Mapping[str, object], removes: Sequence[str] = (), column: str = "document") -> DataFrame:
     """Documents with values set and removed at pointers whose parents exist; Arrow batches of JSON text."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import content_token, partition_id, time_slot, value_bytes
+from ..functions.columns import content_token, partition_id, record_digest, time_slot, value_bytes
 
 KINDS = {"bool": T.BooleanType(), "int": T.LongType(), "uint": T.DecimalType(20, 0), "text": T.StringType(), "bytes": T.BinaryType()}
 #: Parts of a partition whose tokens an append is held against.
@@ -80,6 +80,12 @@ class EventTable:
     def slot(self) -> Column:
         return time_slot(self.time, self.width)
 
+    def part_key(self) -> Column:
+        """The partition key's value as it names a directory; an empty value is not an absent one."""
+        if self.partition_key is None:
+            return F.lit("n")
+        return F.concat(F.lit("k"), F.lower(F.hex(F.encode(F.col(self.partition_key), "UTF-8"))))
+
     def partition(self) -> Column:
         return partition_id(F.col(self.partition_key) if self.partition_key else None, self.slot())
 
@@ -126,7 +132,7 @@ def write(table: EventTable, batch: DataFrame, path: str, rows_a_file: int = 5_0
     of keys and times, so footers and blooms prune it.
     """
     order = [*table.sort, table.time]
-    rows = checked(table, batch).withColumn("p_key", F.col(table.partition_key) if table.partition_key else F.lit("n")).withColumn("p_slot", table.slot())
+    rows = checked(table, batch).withColumn("p_key", table.part_key()).withColumn("p_slot", table.slot())
     dealt = rows.repartitionByRange("p_key", "p_slot", *order).sortWithinPartitions("p_key", "p_slot", *order)
     writer = dealt.write.mode("append").partitionBy("p_key", "p_slot").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("maxRecordsPerFile", rows_a_file)
     writer = writer.option("parquet.writer.version", "v2")
@@ -147,7 +153,7 @@ def union(sealed: DataFrame, open_: DataFrame) -> DataFrame:
 
 def as_stored(table: EventTable, batch: DataFrame) -> DataFrame:
     """A batch as reading it back would give it, for open records."""
-    return checked(table, batch).withColumn("p_key", F.col(table.partition_key) if table.partition_key else F.lit("n")).withColumn("p_slot", table.slot())
+    return checked(table, batch).withColumn("p_key", table.part_key()).withColumn("p_slot", table.slot())
 
 
 # ---- queries ----------------------------------------------------------------
@@ -173,7 +179,7 @@ def matched(table: EventTable, rows: DataFrame, query: EventQuery) -> DataFrame:
             raise EventError(f"{name!r} is no key")
         rows = rows.filter(F.col(name) == value)
         if has_parts and name == table.partition_key:
-            rows = rows.filter(F.col("p_key") == value)
+            rows = rows.filter(F.col("p_key") == "k" + value.encode().hex())
     return rows
 
 
@@ -214,6 +220,33 @@ def observed(table: EventTable, rows: DataFrame, query: EventQuery, name: str =
     return found.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")), seen
 
 
+def statistics(table: EventTable, rows: DataFrame, query: EventQuery) -> DataFrame:
+    """(partitions, candidates, rows, bytes) of a query over stored parts.
+
+    Candidates are the records of the partitions and slots that the query reads;
+    of these the rows match. Bytes are charged for the columns given.
+    """
+    parts = ("p_key", "p_slot")
+    found = rows
+    if query.start is not None:
+        found = found.filter(F.col("p_slot") >= query.start // table.width)
+    if query.stop is not None:
+        found = found.filter(F.col("p_slot") <= (query.stop - 1) // table.width)
+    own = query.equals.get(table.partition_key) if table.partition_key else None
+    if own is not None:
+        found = found.filter(F.col("p_key") == "k" + own.encode().hex())
+    at, fits = F.col(table.time), F.lit(True)
+    if query.start is not None:
+        fits = fits & (at >= query.start)
+    if query.stop is not None:
+        fits = fits & (at < query.stop)
+    for name, value in query.equals.items():
+        fits = fits & (F.col(name) == value)
+    size = reduce(lambda a, b: a + b, [value_bytes(F.col(c), table.kind(c)) for c in query.columns or table.columns])
+    counts = [F.count("*").alias("candidates"), F.count_if(fits).alias("rows"), F.coalesce(F.sum(F.when(fits, size)), F.lit(0)).alias("bytes")]
+    return found.groupBy(*parts).agg(*counts).agg(F.count("*").alias("partitions"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("candidates", "rows", "bytes")))
+
+
 def within(table: EventTable, rows: DataFrame, query: EventQuery, budget: Budget = Budget()) -> DataFrame:
     """A query refused if it would pass its budget; counting stops one row beyond each limit."""
     slots = matched(table, rows, replace(query, equals={}))
@@ -262,9 +295,17 @@ def to_sweep(doomed: DataFrame, now: int, grace: int = GRACE_SECONDS) -> DataFra
     return doomed.filter(F.lit(now) - F.col("doomed_at") >= grace)
 
 
-def batch_tokens(batch: DataFrame, operator: str, token: str, raw: str) -> Column:
-    """The content token of the payloads of a group of records."""
-    return content_token(F.lit(operator), F.lit(token), F.sort_array(F.collect_list(F.col(raw))))
+def batch_tokens(table: EventTable, batches: DataFrame, operator: str, token: str, position: str, by: list[str]) -> DataFrame:
+    """(by, content_token): a name for the content of each batch, the rows of ``batches`` with equal ``by``.
+
+    Batches have one name only if operator, token and, record for record in the
+    order of ``position``, time, keys and payload are the same. A record counts by
+    its digest, so a batch's row stays small.
+    """
+    rows = batches.withColumn("record", record_digest(F.col(table.time), [F.col(k) for k in table.keys], F.col(table.raw)))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), "record")))
+    found = rows.groupBy(*by, operator, token).agg(ordered.alias("records"))
+    return found.select(*by, content_token(F.col(operator), F.col(token), F.transform("records", lambda r: r["record"])).alias("content_token"))
 
 
 def unseen(batch: DataFrame, ledger: DataFrame, recent: int = RECENT_PARTS) -> DataFrame:
@@ -282,8 +323,7 @@ def unseen(batch: DataFrame, ledger: DataFrame, recent: int = RECENT_PARTS) -> D
 
 def misplaced(table: EventTable, rows: DataFrame) -> DataFrame:
     """(partition, rows): records that do not lie in the partition that their key and time demand."""
-    key = F.col(table.partition_key) if table.partition_key else F.lit("n")
-    wrong = ~key.eqNullSafe(F.col("p_key")) | ~table.slot().eqNullSafe(F.col("p_slot"))
+    wrong = ~table.part_key().eqNullSafe(F.col("p_key")) | ~table.slot().eqNullSafe(F.col("p_slot"))
     return rows.filter(wrong).groupBy(table.partition().alias("partition")).agg(F.count("*").alias("rows"))
 
 

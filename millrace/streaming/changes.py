@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.graph import numbered
 from ..operators.policy import Grant, Principal, broad, visible
 from ..operators.world import World
+from ..sources.events import RECENT_PARTS
 
 #: Fixed value: entries that the log keeps.
 WINDOW = 4_096
@@ -98,19 +99,22 @@ def deliver(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     return rows.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def append_once(stream: DataFrame, path: str, ledger: str, checkpoint: str, token: Sequence[str], **trigger) -> StreamingQuery:
-    """Append a stream's rows to a table, each batch once, and no row whose token the ledger has.
+def append_once(stream: DataFrame, path: str, ledger: str, checkpoint: str, token: Sequence[str], recent: int = RECENT_PARTS, **trigger) -> StreamingQuery:
+    """Append a stream's rows to a table, each batch once, and no row whose token the last ``recent`` batches had.
 
     A batch's rows and tokens are written under its number, so a batch that runs
-    again after a crash replaces its own files.
+    again after a crash replaces its own files. Of rows with one token the
+    smallest is kept.
     """
     session = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        named = batch.withColumn("token", F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in token)), 256)).dropDuplicates(["token"])
-        seen = session.read.schema("token string, batch long").parquet(ledger).filter(F.col("batch") != number).select("token")
+        named = batch.select(F.struct("*").alias("own"), F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in token)), 256).alias("token"))
+        named = named.groupBy("token").agg(F.min("own").alias("own"))
+        # the batch number is a directory: older ones aren't read
+        seen = session.read.schema("token string, batch long").parquet(ledger).filter((F.col("batch") < number) & (F.col("batch") >= number - recent)).select("token")
         fresh = named.join(seen, "token", "left_anti").persist()
-        fresh.drop("token").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh.select("own.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
         fresh.select("token").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
         fresh.unpersist()
 

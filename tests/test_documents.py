@@ -7,7 +7,7 @@ from millrace.sources import documents as d
 ROWS = [
     (1, '{"mode":"dark","choice":null,"n":1}'),
     (2, '{"mode":"light","n":2.5,"list":[1,{"a/b":3}]}'),
-    (3, '{"a.b":[{"a/b":null,"~":false}]}'),
+    (3, '{"x.y":[{"up/down":null,"w~":false}]}'),
     (4, '{"mode":7}'),
     (5, '"text"'),
     (6, '{"mode":"x","more":1}'),
@@ -32,8 +32,8 @@ def ids(df):
         ([d.Missing("/choice"), d.Missing("/mode")], [3, 5]),
         ([d.Equal("/list", [1, {"a/b": 3}])], [2]),
         ([d.Equal("/list/1/a~1b", 3)], [2]),
-        ([d.Equal("/a.b/0/~0", False)], [3]),
-        ([d.Equal("/a.b/0/a~1b", None)], [3]),
+        ([d.Equal("/x.y/0/w~0", False)], [3]),
+        ([d.Equal("/x.y/0/up~1down", None)], [3]),
         ([d.Equal("", "text")], [5]),
         ([], [1, 2, 3, 4, 5, 6]),
     ],
@@ -50,7 +50,7 @@ def test_projection_leaves_missing_out(docs):
 
 
 def test_pointers():
-    assert json_path("/a.b/0/a~1b") == "$['a.b'][0]['a/b']" and json_path("") == "$"
+    assert json_path("/x.y/0/up~1down") == "$['x.y'][0]['up/down']" and json_path("") == "$"
     with pytest.raises(ValueError, match="pointer"):
         json_path("a")
 
@@ -67,10 +67,10 @@ def test_shapes_agree(spark, docs):
     by_hand = {i: d.problem(flat, __import__("json").loads(t)) for i, t in ROWS}
     assert found == {i: p for i, p in by_hand.items() if p}
     assert found == {2: "unknown /list", 3: "missing /mode", 4: "kind /mode", 5: "kind /", 6: "unknown /more"}
-    deep = d.obj(**{"a.b": d.array(d.mapping(d.nullable(d.BOOL)))})
+    deep = d.obj(**{"x.y": d.array(d.mapping(d.nullable(d.BOOL)))})
     assert 3 not in {r["id"] for r in d.violations(docs, deep).collect()}
-    wrong = d.obj(**{"a.b": d.array(d.mapping(d.BOOL))})
-    assert {r["id"]: r["problem"] for r in d.violations(docs, wrong).collect()}[3] == "kind /a.b/0/a~1b"
+    wrong = d.obj(**{"x.y": d.array(d.mapping(d.BOOL))})
+    assert {r["id"]: r["problem"] for r in d.violations(docs, wrong).collect()}[3] == "kind /x.y/0/up~1down"
 
 
 def test_widening():
@@ -92,6 +92,33 @@ def test_revisions(spark, docs):
     assert [r["id"] for r in d.inventory(docs, heads).collect()] == [1, 2]
 
 
+def test_lifecycle(spark):
+    docs = lambda rows: spark.createDataFrame(rows, "id long, j string").select("id", F.parse_json("j").alias("document"))
+    heads, payloads = spark.createDataFrame([], "collection string, id long, token string"), docs([]).select("id", F.lit("").alias("token"), "document")
+    shape = d.obj(theme=d.TEXT, size=(d.NUMBER, False))
+    fresh = docs([(1, '{"theme":"a"}'), (2, '{"theme":5}'), (3, '{"theme":"b","size":1}'), (4, "{}"), (4, "{}")]).withColumn("collection", F.lit("c"))
+    heads, payloads, refused = d.create(heads, payloads, fresh, shape)
+    assert ids(heads) == [1, 3] and {r["id"]: r["problem"] for r in refused.collect()} == {2: "kind /theme", 4: "id given twice"}
+    assert {r["problem"] for r in d.create(heads, payloads, fresh.filter("id = 1"), shape)[2].collect()} == {"id exists"}
+    old = {r["id"]: r["token"] for r in heads.collect()}
+    edits = spark.createDataFrame([(1, old[1]), (1, old[1]), (3, "stale"), (9, "none")], "id long, base string")
+    after, more, refused = d.edit(heads, payloads, edits, shape, {"/size": 7})
+    assert ids(refused) == [3, 9] and more.count() == 3
+    now = {r["id"]: r["j"] for r in d.current(after, more).select("id", F.to_json("document").alias("j")).collect()}
+    assert now == {1: '{"size":7,"theme":"a"}', 3: '{"size":1,"theme":"b"}'}
+    same, _, refused = d.edit(heads, payloads, edits.filter("id = 1"), shape, {"/theme": 1})
+    assert {r["problem"] for r in refused.collect()} == {"kind /theme"} and sorted(map(tuple, same.collect())) == sorted(map(tuple, heads.collect()))
+    left, lost = d.end(after, spark.createDataFrame([(1, old[1]), (3, old[3])], "id long, token string"))
+    assert ids(left) == [1] and ids(lost) == [1]
+    held = d.current(after, more)
+    assert d.evolve(held, shape, d.obj(theme=d.TEXT, size=(d.NUMBER, False), extra=(d.nullable(d.TEXT), False))) is held
+    for bad in (d.obj(theme=d.TEXT), d.obj(theme=d.TEXT, size=(d.NUMBER, False), need=d.TEXT)):
+        with pytest.raises(d.DocumentError):
+            d.evolve(held, shape, bad)
+    with pytest.raises(d.DocumentError, match="document"):
+        d.evolve(docs([(1, '{"theme":null}')]), shape, shape)
+
+
 def test_patches(docs):
     got = {r["id"]: r["j"] for r in d.patched(docs.filter("id = 2"), {"/list/1/a~1b": None, "/list/-": "end", "/new": {"k": 1}}, ["/mode"]).select("id", F.to_json("document").alias("j")).collect()}
     assert got[2] == '{"list":[1,{"a/b":null},"end"],"n":2.5,"new":{"k":1}}'

@@ -110,9 +110,45 @@ def test_tokens(spark):
     ledger = spark.createDataFrame([("p", f"t{k}", k) for k in range(20)] + [("p", "open", None), ("q", "t0", 0)], "partition string, token string, part long")
     batch = spark.createDataFrame([("p", "t0"), ("p", "t3"), ("p", "t4"), ("p", "open"), ("p", "new"), ("q", "t0"), ("q", "t4")], "partition string, token string")
     assert sorted(tuple(r) for r in ev.unseen(batch, ledger).collect()) == [("p", "new"), ("p", "t0"), ("p", "t3"), ("q", "t4")]
-    one = spark.createDataFrame([(b"ab",), (b"c",)], "raw binary").agg(ev.batch_tokens(None, "o", "t", "raw")).first()[0]
-    two = spark.createDataFrame([(b"a",), (b"bc",)], "raw binary").agg(ev.batch_tokens(None, "o", "t", "raw")).first()[0]
-    assert one != two and len(one) == 64
+
+
+def test_content_tokens(spark):
+    """Order, time, keys, payloads, token and operator all tell batches apart; equal batches have one name."""
+    base = [(1, 0, 5, "p", "x", b"ab"), (1, 1, 6, "p", "y", b"c")]
+    other = {
+        2: [(2, 0, 5, "p", "x", b"ab"), (2, 1, 6, "p", "y", b"c")],  # the same
+        3: [(3, 1, 5, "p", "x", b"ab"), (3, 0, 6, "p", "y", b"c")],  # turned round
+        4: [(4, 0, 5, "p", "x", b"a"), (4, 1, 6, "p", "y", b"bc")],
+        5: [(5, 0, 7, "p", "x", b"ab"), (5, 1, 6, "p", "y", b"c")],
+        6: [(6, 0, 5, "px", "", b"ab"), (6, 1, 6, "p", "y", b"c")],
+        7: [(7, 0, 5, "p", "x", b"ab")],
+    }
+    rows = [*base, *(r for some in other.values() for r in some)]
+    df = spark.createDataFrame(rows, "batch long, n long, t long, producer string, trace string, raw binary").withColumn("operator", F.lit(9)).withColumn("token", F.lit("tok"))
+    got = {r["batch"]: r["content_token"] for r in ev.batch_tokens(TABLE, df, "operator", "token", "n", ["batch"]).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 6 and len(got[1]) == 64
+
+
+def test_an_empty_key_is_no_absent_one(spark, tmp_path):
+    rows = [(1, "", "a", b"x"), (2, "p", "a", b"y"), (3, "", "b", b"z")]
+    path = f"file://{tmp_path}/t"
+    ev.write(TABLE, spark.createDataFrame(rows, "t long, producer string, trace string, raw binary"), path)
+    found = ev.read(spark, TABLE, path)
+    assert ev.misplaced(TABLE, found).isEmpty()
+    assert sorted(r["t"] for r in ev.select(TABLE, found, ev.EventQuery(equals={"producer": ""}, columns=("t",))).collect()) == [1, 3]
+
+
+def test_costs(spark, tmp_path):
+    """What a query reads: few bytes beside the payloads, nothing out of the window."""
+    rows = spark.range(2_048).select(F.col("id").alias("t"), F.lit("p").alias("producer"), F.concat(F.lit("trace-"), F.col("id") % 4).alias("trace"), F.expr("cast(repeat('x', 2048) as binary)").alias("raw"))
+    table, path = ev.EventTable("t", ("producer", "trace"), 512, "producer", ("trace",)), f"file://{tmp_path}/t"
+    ev.write(table, rows, path)
+    stored_rows = ev.read(spark, table, path)
+    stats = lambda q: ev.statistics(table, stored_rows, q).first().asDict()
+    raw, projected = stats(ev.EventQuery(columns=("raw",))), stats(ev.EventQuery(columns=("t", "trace")))
+    assert projected["bytes"] * 10 < raw["bytes"] and raw["rows"] == raw["candidates"] == 2_048
+    assert stats(ev.EventQuery(10_000)) == {"partitions": 0, "candidates": 0, "rows": 0, "bytes": 0}
+    assert stats(ev.EventQuery(600, 700, {"trace": "trace-1"})) == {"partitions": 1, "candidates": 512, "rows": 25, "bytes": 25 * (8 + 1 + 7 + 2_048)}
 
 
 # ---- joins against a nested loop --------------------------------------------

@@ -96,3 +96,48 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(mutate.Refused):
         store.apply(after, batch, batch)
     assert FORGE.digest() != SCHOOL.digest()
+
+
+def test_rows_without_a_scope_count_among_themselves(spark):
+    own = Entity("Item", (Field("no", "int", serial=("box",)), Field("box")))
+    fresh = spark.createDataFrame([(k, None if k % 2 else "b", None) for k in range(8)], "id long, box string, no long")
+    old = spark.createDataFrame([(100, None, 5), (101, "c", 9)], "id long, box string, no long")
+    got = {r["id"]: r["no"] for r in mutate.with_serials(own, fresh, old).collect()}
+    assert got == {0: 1, 2: 2, 4: 3, 6: 4, 1: 6, 3: 7, 5: 8, 7: 9}
+
+
+def test_changes_name_live_rows_and_edges_once(spark):
+    w, one = school(spark), lambda rows, schema: spark.createDataFrame(rows, schema)
+    bad = [
+        lambda: mutate.update(w, "Student", one([(1, 2), (1, 3)], "id long, points long")),
+        lambda: mutate.lease(w, "Student", one([(5, 9)], "id long, expires_at long")),
+        lambda: mutate.lease(w, "Student", one([(1, 9), (1, 8)], "id long, expires_at long")),
+        lambda: mutate.tune(w, "Student", "courses", one([(10, "a"), (10, "b")], "id long, grade string")),
+        lambda: mutate.tune(w, "Student", "courses", one([(13, "a")], "id long, grade string")),
+        lambda: mutate.tune(w, "Student", "courses", one([(11, "a")], "id long, grade string")),  # its right row ended
+        lambda: mutate.tune(w, "Student", "courses", one([(10,)], "id long")),
+        lambda: mutate.disconnect(w, "Student", "courses", one([(99,)], "id long")),
+        lambda: mutate.disconnect(w, "Student", "courses", one([(10,), (10,)], "id long")),
+    ]
+    for change in bad:
+        with pytest.raises(mutate.Refused):
+            change()
+    leased = mutate.lease(w, "Student", one([(1, 5_000)], "id long, expires_at long")).tables["Student"]
+    assert {r["id"]: r["expires_at"] for r in leased.collect()} == {1: 5_000, 2: None, 3: None, 4: 2_000, 5: 1_000}
+
+
+def test_frozen_entities_keep_their_rows_and_edges(spark):
+    from dataclasses import replace
+
+    w = school(spark)
+    w = replace(w, schema=w.schema.with_entity(replace(w.schema.entity("Student"), frozen=True)))
+    one = spark.createDataFrame([(10, "a")], "id long, grade string")
+    for change in (
+        lambda: mutate.tune(w, "Student", "courses", one),
+        lambda: mutate.disconnect(w, "Student", "courses", one.select("id")),
+        lambda: mutate.update(w, "Student", spark.createDataFrame([(1, 2)], "id long, points long")),
+        lambda: mutate.connect(w, "Student", "courses", spark.createDataFrame([(3, 2, "x")], "left long, right long, grade string"), 50),
+    ):
+        with pytest.raises(mutate.Refused, match="frozen"):
+            change()
+    assert mutate.insert(w, "Student", spark.createDataFrame([("s9",)], "no string"), 50).tables["Student"].count() == 6
