@@ -139,8 +139,8 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of several paths: language, source (null for every fifth), and size unless even."""
-    body = F.struct("lang", F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"), F.struct((F.col("n_chars") % 10).alias("a/b")).alias("x"))
+    """Documents of several paths: language, source (null for every fifth), size and the whole text."""
+    body = F.struct("lang", F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"), F.struct((F.col("n_chars") % 10).alias("a/b")).alias("x"), "text")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.parse_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("document"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -311,7 +312,8 @@ def patched(documents: DataFrame, sets: Mapping[str, object], removes: Sequence[
         if text is None:
             return None
         value = json.loads(text)
-        for steps, is_set, new in plan:
+        for steps, is_set, given in plan:
+            new = copy.deepcopy(given)  # each document gets a value of its own
             if not steps:
                 value = new if is_set else None
                 continue

@@ -22,8 +22,6 @@ from ..functions.columns import content_token, partition_id, record_digest, time
 KINDS = {"bool": T.BooleanType(), "int": T.LongType(), "uint": T.DecimalType(20, 0), "text": T.StringType(), "bytes": T.BinaryType()}
 #: Parts of a partition whose tokens an append is held against.
 RECENT_PARTS = 16
-#: Bytes and seconds after which an open part is sealed, and seconds that old parts stay readable.
-SEAL_BYTES, SEAL_SECONDS, GRACE_SECONDS = 16 << 20, 300, 600
 
 
 class EventError(ValueError):
@@ -285,16 +283,6 @@ def retained(rows: DataFrame, table: EventTable, floor: int) -> DataFrame:
     return rows.filter(slot_no >= floor)
 
 
-def to_seal(open_parts: DataFrame, now: int, most_bytes: int = SEAL_BYTES, most_seconds: int = SEAL_SECONDS) -> DataFrame:
-    """The open parts (partition, bytes, opened_at) that are large or old enough to be sealed."""
-    return open_parts.filter((F.col("bytes") >= most_bytes) | (F.lit(now) - F.col("opened_at") >= most_seconds))
-
-
-def to_sweep(doomed: DataFrame, now: int, grace: int = GRACE_SECONDS) -> DataFrame:
-    """The doomed files (path, doomed_at) that no running scan can still need."""
-    return doomed.filter(F.lit(now) - F.col("doomed_at") >= grace)
-
-
 def batch_tokens(table: EventTable, batches: DataFrame, operator: str, token: str, position: str, by: list[str]) -> DataFrame:
     """(by, content_token): a name for the content of each batch, the rows of ``batches`` with equal ``by``.
 

@@ -100,10 +100,6 @@ def test_budgets_and_statistics(spark, stored):
 def test_life(spark, stored):
     rows = ev.read(spark, TABLE, stored)
     assert ev.retained(rows, TABLE, 2).count() == 20
-    parts = spark.createDataFrame([("a", 1, 990), ("b", 1 << 25, 999), ("c", 1, 600)], "partition string, bytes long, opened_at long")
-    assert sorted(r["partition"] for r in ev.to_seal(parts, 1_000).collect()) == ["b", "c"]
-    doomed = spark.createDataFrame([("x", 1), ("y", 900)], "path string, doomed_at long")
-    assert [r["path"] for r in ev.to_sweep(doomed, 1_000).collect()] == ["x"]
 
 
 def test_tokens(spark):

@@ -1,10 +1,8 @@
 import pytest
 
 from millrace.operators import mutate
-from millrace.operators.query import form, selected
 from millrace.sources.schema import Entity, Field, Relation, Schema
-from millrace.sources.snapshots import SnapshotStore
-from worlds import FORGE, SCHOOL, forge, ids, school, world
+from worlds import forge, ids, school, world
 
 JOB = Schema((Entity("Job", (Field("state", default="queued", values=("queued", "done")), Field("attempts", "int", default=0, low=0, high=2), Field("label", optional=True, unique=()))),))
 
@@ -79,25 +77,6 @@ def test_closure_edges_refuse_cycles(spark):
     assert mutate.connect(w, "Actor", "members", spark.createDataFrame([(1, 4)], "left long, right long"), 10).edges["Actor.members"].count() == 3
 
 
-def test_snapshots(spark, tmp_path):
-    store = SnapshotStore(spark, f"file://{tmp_path}/s")
-    w = school(spark)
-    assert store.version() == 0
-    store.publish(SCHOOL, dict(w.tables), dict(w.edges))
-    before = store.world(1_000)
-    batch = mutate.insert(before, "Student", spark.createDataFrame([("s9", "New")], "no string, name string"), 50)
-    cut = mutate.disconnect(before, "Student", "courses", spark.createDataFrame([(10,)], "id long"))
-    assert store.apply(before, batch, cut) == 2
-    after = store.world(1_000)
-    assert 50 in ids(after.rows("Student")) and 50 not in ids(store.world(1_000, 1).rows("Student"))
-    assert ids(selected(after, form("Student").has("courses", 1))) == []
-    assert after.tables["Course"].inputFiles() == store.world(1_000, 1).tables["Course"].inputFiles()
-    assert store.expired(1) == [1]
-    with pytest.raises(mutate.Refused):
-        store.apply(after, batch, batch)
-    assert FORGE.digest() != SCHOOL.digest()
-
-
 def test_rows_without_a_scope_count_among_themselves(spark):
     own = Entity("Item", (Field("no", "int", serial=("box",)), Field("box")))
     fresh = spark.createDataFrame([(k, None if k % 2 else "b", None) for k in range(8)], "id long, box string, no long")
