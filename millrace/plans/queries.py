@@ -16,6 +16,7 @@ from ..operators import evolve, graph, mutate
 from ..operators.eventjoin import JoinBudget, Side, join
 from ..operators.policy import ME, Grant, Principal, change_allowed, may_grant, memberships, minted, run_as
 from ..operators.query import QueryError, Test, form, ranked, run, selected, sort_keys
+from ..operators.world import World
 from ..sources import documents as docs
 from ..sources import events as ev
 from ..sources.schema import Entity, Field, Reference, Relation, Schema, SchemaError
@@ -830,12 +831,12 @@ def _refused(change) -> bool:
     return False
 
 
-_CASES = "batch size,bytes,candidates,depth,duration,evolved shape,frozen cut,frozen set,frozen tie,frozen tune,join build,join rows,link cap,nested test,rows,within limits"
+_CASES = "batch size,bytes,candidates,duration,evolved shape,frozen cut,frozen set,frozen tie,frozen tune,join build,join rows,link cap,nested test,rows,within limits"
 
 
 @query(f"SELECT unnest(string_split('{_CASES}', ',')) AS test, unnest([t <> 'within limits' FOR t IN string_split('{_CASES}', ',')]) AS refused")
 def refusals(spark, sf):
-    """What passes a limit or breaks a rule is refused, over the whole tables"""
+    """What passes a limit or breaks a rule is refused, over the whole tables"""
     w, rows = b.world(spark, sf), _stored_events(spark, sf)
     own = w.schema.entity("Orders")
     cold = type(w)(w.schema.with_entity(replace(own, frozen=True)), w.tables, w.edges, w.now)
@@ -843,14 +844,10 @@ def refusals(spark, sf):
     one = some.select("id", F.lit("X").alias("returnflag"))
     q = ev.EventQuery(_FROM, _TO, columns=("moment", "raw"))
     sides = Side("user", ev.EventQuery(equals={"event_type": "purchase"})), Side("user", ev.EventQuery(equals={"event_type": "signup"}))
-    chain = Schema(tuple(Entity(f"E{k}", (), (Reference("up", f"E{k - 1}", owner=True),) if k else ()) for k in range(20)))
-    empty = {e.name: spark.createDataFrame([], e.struct()) for e in chain.entities}
-    deep = type(w)(chain, empty, {}, NOW)
     cases = {
         "batch size": lambda: next(ev.batches(ev.select(EVENTS, rows, q), 0)),
         "bytes": lambda: ev.within(EVENTS, rows, q, ev.Budget(bytes=1)),
         "candidates": lambda: ev.within(EVENTS, rows, q, ev.Budget(candidates=1)),
-        "depth": lambda: graph.owner_chain(deep, "E19"),
         "duration": lambda: seconds("5 weeks"),
         "evolved shape": lambda: docs.evolve(b.event_documents(spark, sf), docs.obj(k=docs.NUMBER), docs.obj(k=docs.TEXT)),
         "frozen cut": lambda: mutate.disconnect(cold, "Orders", "parts", one.select("id")),
@@ -867,6 +864,14 @@ def refusals(spark, sf):
     return _told(spark, [(name, _refused(change)) for name, change in cases.items()], "test string, refused boolean")
 
 
+@query("SELECT CAST(unnest(range(17)) AS INTEGER) AS hop, 'E' || CAST(19 - unnest(range(17)) AS VARCHAR) AS entity, CAST(1 AS BIGINT) AS key")
+def owner_depth(spark, sf):
+    """Owners are followed for 16 hops"""
+    chain = Schema(tuple(Entity(f"E{k}", (), (Reference("up", f"E{k - 1}", owner=True),) if k else ()) for k in range(20)))
+    rows = {e.name: spark.createDataFrame([tuple(1 if c.name in ("id", "up_id") else None for c in e.struct())], e.struct()) for e in chain.entities}
+    return graph.owner_chain(World(chain, rows, {}, NOW), "E19").select("hop", "entity", "key")
+
+
 @query("SELECT unnest(['0s', '90s', '5m', '12h', '30d', 'forever']) AS span, unnest(CAST([0, 90, 300, 43200, 2592000, NULL] AS BIGINT[])) AS seconds")
 def durations(spark, sf):
     """F13"""
