@@ -46,6 +46,37 @@ def test_held_out_variants():
     assert model.find(s._words("some words about a licence for fishing in the general area")) == []
 
 
+def _found(model, line):
+    return [f for f, _, sure in model.find(s._words(line)) if sure]
+
+
+NAMED = {
+    "SPDX-License-Identifier: Zlib": [], "SPDX-License-Identifier: EPL-2.0": [], "Eclipse Public License, version 2.0": [], "European Union Public License, version 3": [],
+    "SPDX-License-Identifier: GPL-2.0-only": ["GPL"], "GNU GENERAL PUBLIC LICENSE Version 3": ["GPL"], "GNU Lesser General Public License, version 2.1": ["LGPL"],
+    "MIT License": ["MIT"], "SPDX-License-Identifier: MIT": ["MIT"], "SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "GNU Affero General Public License, version 3": ["AGPL"],
+}
+#: Licences that nothing here was trained on.
+STRANGE = ["Q Public License", "Sleepycat License", "IBM Public License", "Vim License", "NCSA", "Beerware", "Nokia Open Source License", "Ruby License", "OSL-3.0", "AFL-3.0", "CECILL-2.1", "LPPL-1.3c", "Watcom-1.0", "Xnet", "UPL-1.0", "Intel Open Source License", "JSON License", "Zend-2.0", "SISSL", "RPL-1.5"]
+
+
+def test_licences_are_told_apart_by_their_names():
+    p = Planted(3)
+    model = s.fit([p.text(20) for _ in range(800)])
+    assert {line: _found(model, line) for line in NAMED} == NAMED
+
+
+def test_unknown_licences_stay_unknown():
+    """Of licences never trained on, hardly one is taken for a known one; held-out wordings of known ones are found."""
+    p = Planted(4)
+    model = s.fit([p.text(20) for _ in range(800)])
+    strange = [w.format(x, "2.0") for x in STRANGE for w in (*s.NAMED, *s.IDENTIFIED)]
+    assert sum(bool(_found(model, line)) for line in strange) <= 0.02 * len(strange)
+    assert sum(bool(model.find(s._words(line))) for line in strange) <= 0.1 * len(strange)
+    notes = {"This project is licensed under the MIT license.": "MIT", "Code is licensed under the Apache License, Version 2.0": "Apache-2.0", "Distributed and released under the BSD 3-clause license": "BSD", "All files are subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0", "You may use it, licensed under CC BY-SA 4.0, freely": "CC-BY-SA"}
+    right = [(_found(model, line), f) for line, f in notes.items()]
+    assert sum(got == [f] for got, f in right) >= 0.9 * len(right), right
+
+
 def test_frequent_notices_are_found():
     """However often a notice stands in the documents."""
     p = Planted(7)
