@@ -10,10 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import HOT_KEYS
 from ..functions.session import fresh_path, shared_dir
 
 #: Text bytes handled at once inside a task; a longer text forms a slice alone.
 SLICE_BYTES = 1 << 20
+#: Rows of one key that a task may meet, at least.
+HOT_ROWS = 256
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -174,22 +177,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of one key that a task may meet, at least; and keys with more rows than that, at most.
-HOT_ROWS, HOT_KEYS = 256, 50_000
-
-
 def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts``, which has a row a key and the number ``n`` of the key's rows; inner or left.
 
     ``total`` is at least the number of all rows, so fewer than ``HOT_KEYS`` keys
     hold more than ``total / HOT_KEYS`` rows each: their facts are broadcast. The
-    others are shuffled, and no key brings many rows to one task.
+    others are shuffled, and no key brings many rows to one task, nor do rows
+    without a key, which have no facts.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
     mark = unused(rows, "is_hot")
     tagged = rows.join(F.broadcast(facts.filter(F.col(n) > most).withColumn(mark, F.lit(True))), on, "left")
-    hot = tagged.filter(F.col(mark).isNotNull()).drop(mark)
-    rest = tagged.filter(F.col(mark).isNull()).select(*rows.columns)
+    none = F.greatest(*(F.col(c).isNull() for c in on)) if len(on) > 1 else F.col(on[0]).isNull()
+    done = F.col(mark).isNotNull() | (none if how == "left" else F.lit(False))
+    hot = tagged.filter(done).drop(mark)
+    rest = tagged.filter(~done).select(*rows.columns)
     return hot.unionByName(rest.join(facts.filter(F.col(n) <= most), on, how))
 
 

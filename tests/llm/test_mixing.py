@@ -61,12 +61,25 @@ def test_blocks_are_dealt_once_and_shards_are_even(spark):
     assert len({(r["mix_id"], r["mix_text"], r["mix_nth"], r["pass"]) for r in rows}) == len(rows)
     place = defaultdict(set)
     for r in rows:
-        place[r["rank"], r["block"]].add(r["shard"])
+        place[r["rank"], r["pass"], r["block"]].add(r["shard"])
     assert all(len(s) == 1 for s in place.values())
     blocks = Counter(next(iter(s)) for s in place.values())
     assert sorted(blocks) == list(range(m.SHARDS)) and max(blocks.values()) - min(blocks.values()) <= 1
 
 
+def test_drawn_blocks_decide_what_is_taken(spark):
+    """Blocks are taken whole, but for one of each source; the shards follow the input's size."""
+    ordered, mixed = m.mix(documents(spark, _rows()))
+    rows, all_rows, last = mixed.collect(), ordered.collect(), defaultdict(int)
+    held = Counter((r["rank"], r["block"]) for r in all_rows if r["size"])
+    taken = Counter((r["rank"], r["block"]) for r in rows if r["pass"] == r["whole"])
+    for (rank, _block), n in taken.items():
+        last[rank] += n != held[rank, _block]
+    assert taken and all(n <= 1 for n in last.values())
+    again = Counter(r["shard"] for r in m.mix(documents(spark, _rows()), shards=4)[1].collect())
+    assert sorted(again) == [0, 1, 2, 3]
+
+
 def test_the_tree_is_hypergeometric(spark):
     """The left half of 8 + 4 blocks holds 4 of the first source's on average, with the law's variance."""
     quotas = spark.createDataFrame([(0, 8), (1, 4)], "rank int, quota int")
