@@ -3,7 +3,6 @@ import random
 import re
 from datetime import date
 
-import pytest
 from edge import ROWS, documents, empty
 from millrace.llm import pii
 from pyspark.sql import functions as F
@@ -43,9 +42,11 @@ def test_equal_values_stay_linked_and_keys_matter(spark):
     assert run(spark, "ip 10.0.0.1", key="another")[0] != c
 
 
-@pytest.mark.parametrize("text", ["ip 999.1.1.1 v1.2.3.4.5", "ssn 000-12-3456 666-12-3456 900-12-3456 123-00-4567", "day 2021-02-30 31.04.2020 13/01/2020", "iban DE00370400440532013000", "version 4.0, page 12 of 2021", "a@b", "at 1700000000123 and 4111111111111112", ""])
-def test_invalid_values_stay(spark, text):
-    assert run(spark, text) == [(text, [])]
+INVALID = ["ip 999.1.1.1 v1.2.3.4.5", "ssn 000-12-3456 666-12-3456 900-12-3456 123-00-4567", "day 2021-02-30 31.04.2020 13/01/2020", "iban DE00370400440532013000", "version 4.0, page 12 of 2021", "a@b", "at 1700000000123 and 4111111111111112", ""]
+
+
+def test_invalid_values_stay(spark):
+    assert run(spark, *INVALID) == [(text, []) for text in INVALID]
 
 
 def test_permutations_are_one_to_one(spark):

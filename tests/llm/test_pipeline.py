@@ -1,6 +1,6 @@
 import corpus_pipeline
 import pytest
-from edge import Planted, documents
+from edge import ROWS, Planted, documents, empty
 from millrace.llm import queries as q
 from millrace.llm.decontaminate import decontaminated
 from millrace.llm.ngramjoin import keep_one
@@ -44,6 +44,36 @@ def test_run(spark, tables):
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and starts[0][0] == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_each_stage_takes_all_rows(spark, tables, k):
+    """Null, empty and long texts, repeated rows, null ids, clashing columns, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = documents(spark)
+    out = stage(spark, docs, tables)
+    none = stage(spark, empty(spark), tables)
+    assert none.collect() == [] and none.columns == out.columns
+    got = out.collect()
+    if k == 4:
+        assert len(got) == len(ROWS)
+        return
+    assert out.columns == docs.columns
+    ids = sorted(str(r["doc_id"]) for r in got)
+    if name == "near copies":
+        assert ids == sorted(["1", "2", "3", "4", "5", "6", "8", "None"])
+    elif name == "mixing":
+        assert set(ids) <= {"1", "5", "6", "7", "8", "None"} and ids
+    else:
+        assert ids == sorted(str(r[0]) for r in ROWS)
+
+
+def test_token_files_follow_the_mix(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("text is not null").select("doc_id", "text", "source")
+    path = f"file://{tmp_path}/mixed"
+    docs.orderBy(docs.doc_id.desc()).repartitionByRange(3, docs.doc_id.desc()).sortWithinPartitions(docs.doc_id.desc()).write.parquet(path)
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(path), tables).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in docs.collect()), reverse=True)
+
+
 def test_registered():
     names = q.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
