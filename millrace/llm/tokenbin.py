@@ -43,7 +43,7 @@ END_ID = 2
 LEVEL = 3
 FILES = "part int, seq int, n_ids long, n_docs long, content binary"
 #: Bytes of pieces and ids that a Python worker keeps; and characters of a piece that is kept.
-CACHE_BYTES, CACHE_PIECE = 64 << 20, 64
+CACHE_BYTES, CACHE_PIECE = 128 << 20, 64
 
 
 # ---- planes -----------------------------------------------------------------
