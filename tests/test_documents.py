@@ -122,3 +122,28 @@ def test_lifecycle(spark):
 def test_patches(docs):
     got = {r["id"]: r["j"] for r in d.patched(docs.filter("id = 2"), {"/list/1/a~1b": None, "/list/-": "end", "/new": {"k": 1}}, ["/mode"]).select("id", F.to_json("document").alias("j")).collect()}
     assert got[2] == '{"list":[1,{"a/b":null},"end"],"n":2.5,"new":{"k":1}}'
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def stored(spark, tmp_path):
+    """Heads, payloads and new documents in files, whose bytes are few for their rows."""
+
+    def kept(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    made = lambda rows: spark.createDataFrame(rows, "collection string, id long, token string, j string").withColumn("document", F.parse_json("j"))
+    old, new = made([("c", i, f"t{i}", '{"k":1}') for i in range(8)]), made([("c", i, None, '{"k":2}') for i in range(6, 12)] + [("c", None, None, '{"k":3}')])
+    return kept(old.select("collection", "id", "token"), "heads"), kept(old.select("id", "token", "document"), "payloads"), kept(new.select("collection", "id", "document"), "fresh")
+
+
+def test_creation_broadcasts_no_table_and_loses_no_row(stored):
+    heads, payloads, fresh = stored
+    heads, payloads, refused = d.create(heads, payloads, fresh, d.obj(k=d.NUMBER))
+    for df in (heads, payloads, refused, d.current(heads, payloads)):
+        assert "BroadcastExchange" not in plan(df)
+    assert ids(heads) == list(range(12)) and {r["id"]: r["problem"] for r in refused.collect()} == {6: "id exists", 7: "id exists", None: "id is absent"}
