@@ -1005,7 +1005,7 @@ def doc_edit_end(spark, sf):
     edits = k.select("id", F.when(F.col("k") < 50, F.col("token")).otherwise(F.lit("stale")).alias("base"))
     heads, _, _ = docs.edit(heads, payloads, edits, shape, {"/k": 5})
     views = b.table(spark, sf, "events").filter("event_type = 'view'").select(F.col("event_id").alias("id"))
-    left, _ = docs.end(heads, heads.join(views, "id", "left_semi").select("id", "token"))
+    left, _ = docs.end(heads, heads.join(docs.shuffled(views), "id", "left_semi").select("id", "token"))
     return left.select("id", "token")
 
 

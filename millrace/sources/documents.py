@@ -279,21 +279,23 @@ def edit(heads: DataFrame, payloads: DataFrame, edits: DataFrame, shape: Shape,
     A base that is not the head's token is refused, and so is a result of another
     shape; edits of one id and base are one edit.
     """
-    asked = edits.select("id", "base").distinct()
-    on_head = asked.join(heads.select("id", F.col("token").alias("base")), ["id", "base"], "left_semi")
-    stale = asked.join(on_head, ["id", "base"], "left_anti").select("id", F.lit("base is not the head").alias("problem"))
-    now = current(on_head.select("id", F.col("base").alias("token")), payloads).select("id", F.col("token").alias("base"), "document")
+    tops = heads.select("id", F.col("token").alias("base"), F.lit(True).alias("on_head"))
+    asked = edits.select("id", "base").distinct().join(shuffled(tops), ["id", "base"], "left")
+    stale = asked.filter("on_head is null").select("id", F.lit("base is not the head").alias("problem"))
+    now = current(asked.filter("on_head").select("id", F.col("base").alias("token")), payloads).select("id", F.col("token").alias("base"), "document")
     rows = patched(now, sets, removes).withColumn("problem", judged(shape, "document"))
     bad = rows.filter("problem is not null").select("id", "problem")
     made = rows.filter("problem is null").select("id", revision(F.col("id"), F.col("base"), F.col("document")).alias("token"), "document")
-    moved = heads.join(made.select("id", F.col("token").alias("new_token")), "id", "left").withColumn("token", F.coalesce("new_token", "token"))
+    new = made.select("id", F.col("token").alias("new_token"))
+    moved = heads.join(shuffled(new), "id", "left").withColumn("token", F.coalesce("new_token", "token"))
     return moved.select(*heads.columns), payloads.unionByName(made.select(*payloads.columns)), stale.union(bad)
 
 
 def end(heads: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The heads without those that ``ends`` (id, token) name at their present token, and the ends refused."""
     known = ends.select("id", "token").distinct()
-    return heads.join(known, ["id", "token"], "left_anti").select(*heads.columns), known.join(heads.select("id", "token"), ["id", "token"], "left_anti")
+    left = heads.join(shuffled(known), ["id", "token"], "left_anti").select(*heads.columns)
+    return left, known.join(shuffled(heads.select("id", "token")), ["id", "token"], "left_anti")
 
 
 def evolve(documents: DataFrame, old: Shape, new: Shape) -> DataFrame:

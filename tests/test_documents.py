@@ -147,3 +147,14 @@ def test_creation_broadcasts_no_table_and_loses_no_row(stored):
     for df in (heads, payloads, refused, d.current(heads, payloads)):
         assert "BroadcastExchange" not in plan(df)
     assert ids(heads) == list(range(12)) and {r["id"]: r["problem"] for r in refused.collect()} == {6: "id exists", 7: "id exists", None: "id is absent"}
+
+
+def test_edits_and_ends_broadcast_no_table(stored):
+    heads, payloads, _ = stored
+    edits = heads.filter("id > 2").select("id", F.when(F.col("id") == 7, F.lit("old")).otherwise(F.col("token")).alias("base"))
+    heads, payloads, refused = d.edit(heads, payloads, edits, d.obj(k=d.NUMBER), {"/k": 5})
+    left, lost = d.end(heads, heads.filter("id > 5").select("id", F.when(F.col("id") == 6, F.col("token")).otherwise(F.lit("old")).alias("token")))
+    for df in (heads, payloads, refused, left, lost):
+        assert "BroadcastExchange" not in plan(df)
+    assert ids(refused) == [7] and payloads.count() == 12 and ids(left) == [0, 1, 2, 3, 4, 5, 7] and ids(lost) == [7]
+    assert {r["id"] for r in heads.collect() if r["token"] != f"t{r['id']}"} == {3, 4, 5, 6}
