@@ -915,7 +915,8 @@ def event_union(spark, sf):
     rows = b.events(spark, sf)
     early = F.col("moment") < _FROM
     both = ev.union(_stored_parts(spark, sf, rows.filter(early)), ev.as_stored(EVENTS, rows.filter(~early)))
-    return both.groupBy("event_type").agg(F.count("*").alias("rows"), F.sum("moment").cast("decimal(38,0)").alias("moments"))
+    moments = F.sum(F.col("moment").cast("decimal(20,0)"))  # a few thousand moments pass 64 bits
+    return both.groupBy("event_type").agg(F.count("*").alias("rows"), moments.cast("decimal(38,0)").alias("moments"))
 
 
 @query(f"""SELECT count(DISTINCT moment // {DAY}) AS partitions, count(*) AS candidates, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS rows, CAST(coalesce(sum(8 + octet_length(unhex(raw))) FILTER (WHERE ok), 0) AS BIGINT) AS bytes
