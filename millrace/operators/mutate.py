@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -64,13 +65,22 @@ def _require(problems: DataFrame) -> None:
         raise Refused("; ".join(f"row {r['id']}: {r['rule']}" for r in found))
 
 
-def _once(changes: DataFrame) -> DataFrame:
-    """(id, rule): ids that ``changes`` name more than once."""
-    return changes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("given twice").alias("rule"))
+#: What may name an edge: its id, and its ends too where edges share ids.
+EDGE = ("id", "left", "right")
 
 
-def _known(changes: DataFrame, ids: DataFrame, rule: str) -> DataFrame:
-    return changes.join(ids.select("id"), "id", "left_anti").select("id", F.lit(rule).alias("rule"))
+def _naming(changes: DataFrame) -> list[str]:
+    """The columns by which ``changes`` name edges."""
+    return [c for c in EDGE if c in changes.columns]
+
+
+def _once(changes: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
+    """(id, rule): rows or edges that ``changes`` name more than once."""
+    return changes.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("given twice").alias("rule"))
+
+
+def _known(changes: DataFrame, rows: DataFrame, rule: str, on: Sequence[str] = ("id",)) -> DataFrame:
+    return changes.join(rows.select(*on), list(on), "left_anti").select("id", F.lit(rule).alias("rule"))
 
 
 def _unfrozen(own: Entity) -> None:
@@ -211,13 +221,14 @@ def tune(world: World, entity: str, relation: str, changes: DataFrame) -> Batch:
 
 
 def disconnect(world: World, entity: str, relation: str, ids: DataFrame) -> Batch:
-    """Edges of ``ids`` (id) ended now; unknown ids are refused, and edges of frozen entities."""
+    """Edges of ``ids`` (id, or id, left and right) ended now; unknown ones are refused, and edges of frozen entities."""
     own = world.schema.entity(entity)
     _unfrozen(own)
     name = f"{own.name}.{own.relation(relation).name}"
     edges = world.edges[name]
-    _require(_known(ids, edges, "no edge").union(_once(ids)))
-    joined = edges.join(ids.select("id", F.lit(True).alias("cut")), "id", "left")
+    on = _naming(ids)
+    _require(_known(ids, edges, "no edge", on).union(_once(ids, on)))
+    joined = edges.join(ids.select(*on, F.lit(True).alias("cut")), on, "left")
     ended = lambda column: F.when(F.col("cut"), F.lit(world.now)).otherwise(F.col(column))
     table = joined.withColumn("expires_at", ended("expires_at")).withColumn("updated_at", ended("updated_at")).select(*edges.columns)
     return Batch(edges={name: table}, log=[_log(ids, "cut", name)])

@@ -810,9 +810,9 @@ def tune_batch(spark, sf):
 
 @query(f"SELECT id, CASE WHEN qty < 10 THEN CAST({NOW} AS BIGINT) END AS expires_at FROM edges")
 def cut_batch(spark, sf):
-    """K5: edges ended"""
+    """K5: edges ended; beyond a million parts ids are shared, so the ends name an edge too"""
     w = b.world(spark, sf)
-    return mutate.disconnect(w, "Orders", "parts", w.edges["Orders.parts"].filter("qty < 10").select("id")).edges["Orders.parts"].select("id", "expires_at")
+    return mutate.disconnect(w, "Orders", "parts", w.edges["Orders.parts"].filter("qty < 10").select(*mutate.EDGE)).edges["Orders.parts"].select("id", "expires_at")
 
 
 @query(f"SELECT id, CASE WHEN status = 'O' AND (expires_at IS NULL OR expires_at > {NOW}) THEN CAST({NOW + 60} AS BIGINT) ELSE expires_at END AS expires_at FROM e_orders")
