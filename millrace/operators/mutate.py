@@ -200,20 +200,21 @@ def connect(world: World, entity: str, relation: str, pairs: DataFrame, next_id:
 
 
 def tune(world: World, entity: str, relation: str, changes: DataFrame) -> Batch:
-    """Edges with fields of ``changes`` (id, ...) set: live edges with live ends, each once; no edge of a frozen entity."""
+    """Edges with fields of ``changes`` (id, or id, left and right, ...) set: live edges with live ends, each once; no edge of a frozen entity."""
     own = world.schema.entity(entity)
     _unfrozen(own)
     link = own.relation(relation)
     name = f"{own.name}.{link.name}"
     edges = world.edges[name]
-    names = [c for c in changes.columns if c != "id"]
+    on = _naming(changes)
+    names = [c for c in changes.columns if c not in on]
     if not names or set(names) - {f.name for f in link.fields}:
         raise Refused(f"{name} has no fields {names}")
     lefts = world.rows(own.name).select(F.col("id").alias("left"))
     held = world.held_edges(own.name, link.name).join(lefts, "left", "left_semi")
-    _require(_known(changes, held, "no live edge").union(_once(changes)))
-    new = changes.select("id", *(F.col(n).alias(f"new_{n}") for n in names), F.lit(True).alias("changes"))
-    joined = edges.join(new, "id", "left")
+    _require(_known(changes, held, "no live edge", on).union(_once(changes, on)))
+    new = changes.select(*on, *(F.col(n).alias(f"new_{n}") for n in names), F.lit(True).alias("changes"))
+    joined = edges.join(new, on, "left")
     for n in names:
         joined = joined.withColumn(n, F.when(F.col("changes"), F.col(f"new_{n}")).otherwise(F.col(n)))
     joined = joined.withColumn("updated_at", F.when(F.col("changes"), F.lit(world.now)).otherwise(F.col("updated_at")))

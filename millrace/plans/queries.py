@@ -801,10 +801,10 @@ def unset_batch(spark, sf):
 
 @query("""SELECT id, CASE WHEN qty > 40 AND r IN (SELECT p_partkey FROM part) AND l IN (SELECT id FROM live_orders) THEN 'X' ELSE returnflag END AS returnflag FROM edges""")
 def tune_batch(spark, sf):
-    """K5: fields of live edges with live ends"""
+    """K5: fields of live edges with live ends; the ends name an edge too, as for ``cut_batch``"""
     w = b.world(spark, sf)
     lefts = w.rows("Orders").select(F.col("id").alias("left"))
-    asked = w.held_edges("Orders", "parts").filter("qty > 40").join(lefts, "left", "left_semi").select("id", F.lit("X").alias("returnflag"))
+    asked = w.held_edges("Orders", "parts").filter("qty > 40").join(lefts, "left", "left_semi").select(*mutate.EDGE, F.lit("X").alias("returnflag"))
     return mutate.tune(w, "Orders", "parts", asked).edges["Orders.parts"].select("id", "returnflag")
 
 

@@ -38,3 +38,8 @@ def orders_of_a_million_parts(spark):
 def test_cut_edges_that_share_an_id(spark, tmp_path):
     rows = agrees(spark, tmp_path, "cut_batch", orders_of_a_million_parts(spark))
     assert sorted(r[0] for r in rows if r[1]) == [1_000_008, 2_000_005, 2_000_006, 2_000_009, 2_000_009]
+
+
+def test_tuned_edges_that_share_an_id(spark, tmp_path):
+    rows = agrees(spark, tmp_path, "tune_batch", orders_of_a_million_parts(spark))
+    assert sorted(r[0] for r in rows if r[1] == "X") == [2_000_005, 2_000_006, 2_000_007, 2_000_007] and len(rows) == 10
